@@ -103,7 +103,7 @@ class ChunkEncoder:
         self.asked, self.reused = self.asked + len(wanted), self.reused + len(wanted) - len(new)
         if self.held > KEPT_BYTES:
             self.chunks, self.held, new = {}, 0, list(wanted)
-        for x, ids in zip(new, self.words.encode([x.decode() for x in new]), strict=True):
+        for x, ids in zip(new, self.words.encode(pa.array(new, pa.binary()).cast(pa.string())), strict=True):
             self.chunks[x] = ids.copy()
             self.held += len(x) + 4 * len(ids) + 200
         return [self._joined(text, steps) for text, steps in zip(texts, plans, strict=True)]
@@ -115,7 +115,7 @@ class ChunkEncoder:
         for chunk, head, tail, window in steps:
             ids, first, last = self.chunks[chunk], self.chunks[head], self.chunks[tail]
             if len(first) + len(last) > len(ids) or not (np.array_equal(ids[:len(first)], first) and np.array_equal(ids[len(ids) - len(last):], last)):
-                return self.words.encode([text.decode()])[0]
+                return self.words.encode(pa.array([text.decode()]))[0]
             out += [ids[len(first):len(ids) - len(last)], self.chunks[window]]
         return np.concatenate(out) if out else np.zeros(0, np.int32)
 

@@ -81,6 +81,11 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return np.asarray(coded.indices).astype(np.int64), np.bincount(of, minlength=len(texts)), coded.dictionary
 
 
+def strings(array: pa.Array) -> list[str]:
+    """As to_pylist() of an array of strings without nulls, several times faster."""
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, element by element."""
     x = x ^ (x >> np.uint64(30))

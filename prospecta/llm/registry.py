@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from prospecta.llm import q_chat, q_quality
+from prospecta.llm import q_chat, q_quality, q_tokens
 
-MODULES = (q_chat, q_quality)
+MODULES = (q_chat, q_quality, q_tokens)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

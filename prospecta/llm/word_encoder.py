@@ -1,9 +1,11 @@
 """Ids of texts by a lower-casing word-end BPE vocabulary (word_bpe_49k.json), word by word.
 
-White space separates the vocabulary's pre-tokens and is dropped, so a text's ids are those of its words in order.
-Texts of common characters are cut into words by one pattern, each distinct word is merged once (merges.py) and
-kept in a bounded table, and the ids of all texts are gathered by numpy. Texts with other characters (where
-normalisation or classes might differ) go to the library whole.
+White space separates the vocabulary's pre-tokens and is dropped, special strings have none, and normalisation does not
+reach across it: a text's ids are those of its white-space words in order. Arrow cuts texts into words and codes them,
+each distinct word is encoded once (by merges.py, or by the library if it has characters whose classes or
+normalisation might differ) and kept in a bounded table, and numpy gathers the ids of all texts. So that fewer words
+are distinct, A-Z are lower-cased first (not where a special string might be meant, whose case counts) and a full stop
+or comma after a letter stands apart, as it does in the pattern.
 """
 
 from __future__ import annotations
@@ -13,14 +15,17 @@ import re
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
+from prospecta.llm.common import strings, words_of
 from prospecta.llm.merges import MergeTable, merge_all
 
 #: Fixed value: the pre-token pattern of the vocabulary, for the characters that UNLIKE_PLAIN leaves.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+"
-UNLIKE_PLAIN = r"[^\x00-\x1b\x20-\x7e\xc0-\xff]"
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+"
+UNLIKE_PLAIN = r"[^\x00-\x1b\x20-\x7e\xc0-\xff]|<\|"
 #: Words that a worker keeps.
-KEPT = 1 << 19
+KEPT = 3 << 18
 
 
 class WordEncoder:
@@ -32,9 +37,7 @@ class WordEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.table = MergeTable(path)
-        self.find, self.unlike = re.compile(WORDS).findall, re.compile(UNLIKE_PLAIN)
-        self.specials = {x.content: i for i, x in self.library.get_added_tokens_decoder().items()}
-        self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")")
+        self.find, self.unlike = re.compile(PIECES).findall, re.compile(UNLIKE_PLAIN).search
         self._clear()
 
     def _clear(self) -> None:
@@ -44,46 +47,38 @@ class WordEncoder:
         self.used = 0
 
     def _learn(self, words: list[str]) -> None:
-        found = [w for w in words if w in self.specials]
-        words = found + [w for w in words if w not in self.specials]
-        ids, sizes = merge_all(self.table, [w.encode() for w in words[len(found):]])
-        ids = np.concatenate([np.array([self.specials[w] for w in found], np.int64), ids])
-        sizes = np.concatenate([np.ones(len(found), np.int64), sizes])
+        odd = [w for w in words if self.unlike(w)]
+        plain = [w for w in words if not self.unlike(w)] if odd else words
+        coded = [x.ids for x in self.library.encode_batch_fast(odd, add_special_tokens=False)]
+        pieces = [self.find(w.lower()) for w in plain]
+        ids, by_piece = merge_all(self.table, [x.encode() for own in pieces for x in own])
+        edges = np.concatenate([[0], np.cumsum(by_piece)])[np.cumsum([0, *map(len, pieces)])]
+        sizes = np.concatenate([np.fromiter(map(len, coded), np.int64, len(coded)), np.diff(edges)])
         at, to, end = len(self.known), len(self.known) + len(words), self.used + int(sizes.sum())
         while to > len(self.starts):
             self.starts, self.lengths = np.concatenate([self.starts] * 2), np.concatenate([self.lengths] * 2)
         while end > len(self.ids):
             self.ids = np.concatenate([self.ids] * 2)
-        self.ids[self.used:end] = ids
+        self.ids[self.used:end] = np.concatenate([np.fromiter(chain.from_iterable(coded), np.int64), ids])
         self.lengths[at:to] = sizes
         self.starts[at:to] = self.used + np.cumsum(sizes) - sizes
         self.used = end
-        self.known.update(zip(words, range(at, to), strict=True))
+        self.known.update(zip(odd + plain if odd else plain, range(at, to), strict=True))
 
-    def _words(self, text: str) -> list[str]:
-        if "<|" in text and self.special.search(text):
-            return [w for part in self.special.split(text) for w in ([part] if part in self.specials else self.find(part.lower()))]
-        return self.find(text.lower())
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text, as int32 arrays."""
-        plain = [i for i, text in enumerate(texts) if not self.unlike.search(text)]
-        words = [self._words(texts[i]) for i in plain]
         if len(self.known) > KEPT:
             self._clear()
-        new = list(set().union(*words) - self.known.keys())
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():
+            texts = pc.ascii_lower(texts)
+        words, counts, distinct = words_of(pc.replace_substring_regex(texts, r"([a-zß-öø-ÿ])([.,])([ \n])", r"\1 \2\3"))
+        distinct = strings(distinct)
+        new = [w for w in distinct if w not in self.known]
         if new:
             self._learn(new)
-        code = self.known.__getitem__
-        codes = np.fromiter(chain.from_iterable(map(code, own) for own in words), np.int64, sum(map(len, words)))
+        codes = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[words]
         lengths = self.lengths[codes]
         ends = np.cumsum(lengths)
         flat = self.ids[np.repeat(self.starts[codes] - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        edges = np.concatenate([[0], ends])[np.cumsum([0, *map(len, words)])]
-        out: list[np.ndarray | None] = [None] * len(texts)
-        for i, a, b in zip(plain, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            out[i] = flat[a:b]
-        other = [i for i, x in enumerate(out) if x is None]
-        for i, x in zip(other, self.library.encode_batch_fast([texts[i] for i in other], add_special_tokens=False), strict=True):
-            out[i] = np.array(x.ids, np.int32)
-        return out
+        edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        return [flat[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
