@@ -72,7 +72,7 @@ class Counter:
         out = np.zeros(len(texts), np.int64)
         out[whole] = self._count(strings(texts.take(pa.array(whole, pa.int64()))))
         texts = pc.replace_substring_regex(texts.filter(pa.array(rest)), r"([a-zA-Zß-öø-ÿ])([.,])([ \n])", rf"\1 {JOIN}\2\3")
-        texts = pc.replace_substring_regex(texts, r"(\S)\n(\S)", "\\1 " + JOIN + "\n " + JOIN + "\\2")
+        texts = pc.replace_substring_regex(texts, r"([!-~À-ÖØ-öø-ÿ])\n([!-~À-ÖØ-öø-ÿ])", "\\1 " + JOIN + "\n " + JOIN + "\\2")
         split = pc.split_pattern(texts.cast(pa.large_string()), " ")
         sizes = np.asarray(pc.list_value_length(split)).astype(np.int64)
         pieces = split.flatten()
