@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from prospecta.llm import q_chat, q_decontaminate, q_quality, q_tokens
+from prospecta.llm import q_chat, q_decontaminate, q_quality, q_secrets, q_tokens
 
-MODULES = (q_chat, q_quality, q_tokens, q_decontaminate)
+MODULES = (q_chat, q_quality, q_tokens, q_decontaminate, q_secrets)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
