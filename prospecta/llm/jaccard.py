@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from prospecta.llm.common import docs_only, mixed, slices, strings, words_of, written
 from prospecta.llm.components import components, roots
+from prospecta.llm.marks import marked
 
 #: Buckets of the shingle counts, and counts in one row of a partial sketch.
 SKETCH_BITS, SKETCH_ROW = 20, 1 << 14
@@ -39,8 +40,6 @@ SKETCH_BITS, SKETCH_ROW = 20, 1 << 14
 MOST_MATCHES, VERIFY_COST = 8, 0.05
 #: Partners of one document that are verified in one group.
 GROUP = 256
-#: Bits that mark the documents whose texts are fetched for verification (8 MB at any size; more texts come, none is lost).
-MARK_BITS = 26
 
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -149,42 +148,9 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, k: int, percent: int) -> Data
     return docs.mapInArrow(run, "doc_id long, n int, matches int, entries array<long>")
 
 
-def _marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose id may be among `ids`: a table of 2 ** MARK_BITS bits, sent to all tasks, saves moving
-    the other texts."""
-    spark = docs.sparkSession
-
-    def slots(values: np.ndarray) -> np.ndarray:
-        return (mixed(values.astype(np.int64).view(np.uint64)) >> np.uint64(64 - MARK_BITS)).astype(np.int64)
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << MARK_BITS, bool)
-        for batch in batches:
-            bits[slots(np.asarray(batch.column("doc_id")))] = True
-        packed = np.packbits(bits).reshape(64, -1)
-        some = [i for i in range(64) if packed[i].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([packed[i].tobytes() for i in some], pa.binary())], names=["block", "bits"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, raw in zip(batch.column("block").to_pylist(), batch.column("bits").to_pylist(), strict=True):
-                total[block] = total.get(block, np.uint8(0)) | np.frombuffer(raw, np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["block", "bits"])
-
-    packed = np.zeros((64, (1 << MARK_BITS) // 512), np.uint8)
-    for row in ids.coalesce(8).mapInArrow(mark, "block int, bits binary").repartition("block").mapInArrow(merge, "block int, bits binary").collect():
-        packed[row.block] |= np.frombuffer(row.bits, np.uint8)
-    shared = spark.sparkContext.broadcast(packed.reshape(-1))
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        for batch in batches:
-            own = batch.column("doc_id")
-            at = slots(np.asarray(pc.fill_null(own, 0)))
-            yield batch.filter(pc.and_(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1), pc.is_valid(own)))
-
-    return docs.mapInArrow(pick, "doc_id long, text string")
+def _with_id(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
+    batch = batch.filter(pc.is_valid(batch.column("doc_id")))
+    return batch, np.asarray(batch.column("doc_id"))
 
 
 def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -195,7 +161,7 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
     asked = written(salted, "asked")
     wanted = asked.select(F.col("b").alias("doc_id"), "a", "salt", F.lit(1).alias("side")).unionAll(
         asked.select(F.col("a").alias("doc_id"), "a", "salt", F.lit(0).alias("side")).distinct())
-    texts = _marked(docs, wanted.select("doc_id"))
+    texts = marked(docs, wanted.select("doc_id"), _with_id)
     rows = texts.join(wanted, "doc_id").repartition("a", "salt").sortWithinPartitions("a", "salt", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
