@@ -156,18 +156,23 @@ def decode(ids: DataFrame, path: str) -> DataFrame:
     return ids.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def encode_decode(docs: DataFrame, path: str) -> DataFrame:
-    """n_tokens and the digests of ids and decoded text of every document, in one pass, so that neither is moved."""
+def encode_decode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """n_tokens and the digests of ids and decoded text of every document, in one pass; the ids too, if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ChunkEncoder(path)
         names = Names(encoder.words)
         for batch in slices(batches):
             all_ids = encoder.encode(pc.cast(batch.column("text"), pa.binary()).to_pylist())
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array(list(map(len, all_ids)), pa.int64()),
-                pa.array([hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest() for ids in all_ids], pa.string()),
-                pa.array([hashlib.sha256(names.decode(ids).encode()).hexdigest() for ids in all_ids], pa.string()),
-            ], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs_only(docs).mapInArrow(run, DIGESTS)
+            lengths = list(map(len, all_ids))
+            out = {
+                "doc_id": batch.column("doc_id"), "n_tokens": pa.array(lengths, pa.int64()),
+                "ids_sha256": pa.array([hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest() for ids in all_ids], pa.string()),
+                "decoded_sha256": pa.array([hashlib.sha256(names.decode(ids).encode()).hexdigest() for ids in all_ids], pa.string()),
+            }
+            if with_ids:
+                flat = pa.array(np.concatenate([np.zeros(0, np.int32), *all_ids]), pa.int32())
+                out["ids"] = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *lengths]), pa.int32()), flat)
+            yield pa.RecordBatch.from_pydict(out)
+
+    return docs_only(docs).mapInArrow(run, DIGESTS + ", ids array<int>" * with_ids)
