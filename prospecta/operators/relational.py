@@ -8,6 +8,7 @@ partitioning.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,19 +59,14 @@ def any_in_group(df: DataFrame, keys: Sequence[str | Column], condition: Column,
 
 
 def earlier_exists(latest: DataFrame, history: DataFrame, keys: Sequence[str], condition: Column, name: str) -> DataFrame:
-    """latest with `name`: whether a row of the same key in history meets a condition over both (columns `l.` and `h.`)."""
-    l, h = latest.alias("l"), history.alias("h")
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys]
-    on = same[0]
-    for x in (*same[1:], condition):
-        on = on & x
-    hit = l.join(h, on, "left_semi").select(*keys).distinct().withColumn(name, F.lit(True))
-    back = [latest[k].eqNullSafe(hit[k]) for k in keys]
-    cond = back[0]
-    for x in back[1:]:
-        cond = cond & x
-    out = latest.join(hit, cond, "left")
-    return out.select(*[latest[c] for c in latest.columns], F.coalesce(hit[name], F.lit(False)).alias(name))
+    """latest with `name`: whether a row of the same key in history meets a condition over both (columns `l.` and `h.`; keys of h begin with `_`)."""
+    l, h = latest.alias("l"), history.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in history.columns if c not in keys]).alias("h")
+
+    def same(rows: str, other: str) -> Column:
+        return reduce(lambda a, b: a & b, [F.col(f"{rows}{k}").eqNullSafe(F.col(f"{other}_{k}")) for k in keys])
+
+    hit = l.join(h, same("l.", "h.") & condition, "left_semi").select(*[F.col(f"l.{k}").alias(f"_{k}") for k in keys]).distinct().withColumn(name, F.lit(True))
+    return latest.join(hit, same("", ""), "left").select(*latest.columns, F.coalesce(F.col(name), F.lit(False)).alias(name))
 
 
 def merge_by_key(stored: DataFrame, live: DataFrame, key: str, ord_: str = "ord") -> DataFrame:
