@@ -101,7 +101,7 @@ def snapshot(events: DataFrame) -> DataFrame:
     order = [F.desc("_time"), F.desc(priority), F.desc(has_ticker), F.desc(same), F.desc(clean), *store_order()]
     latest = r.latest_by(rows, ["identity"], order, always=blank)
     past = rows.filter(~blank)
-    falling = F.struct(F.col("_time"), (-F.unix_date(F.try_to_date(F.col("date"), F.lit("yyyy-MM-dd")))).alias("_day"), F.col("event_id"))
+    falling = F.struct(F.col("_time"), (-F.unix_date(F.try_to_date(F.col("date"), "yyyy-MM-dd"))).alias("_day"), F.col("event_id"))
     history = r.history_by(past.withColumn("_order", falling), ["identity"], ["_order"], "accession_number", "form", fixed.AMENDMENT_FORMS)
     effective = d.effective_for_history(F.col("designated_effective_date"), F.col("date"), F.col("effectiveness_days"))
     earlier = past.filter("form = '485BPOS'").select("identity", F.col("_time").alias("_then"), effective.alias("_effective"))
