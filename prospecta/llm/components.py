@@ -9,7 +9,7 @@ from prospecta.llm.common import written
 
 
 def roots(parents: DataFrame) -> DataFrame:
-    """node, root from node, parent with parent < node, at most one row for each node: pointer jumping, in as many
+    """node, root from node, parent without cycles, at most one row for each node: pointer jumping, in as many
     rounds as the logarithm of the longest path."""
     now = written(parents.select("node", F.col("parent").alias("root")), "roots")
     while True:

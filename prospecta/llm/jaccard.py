@@ -6,10 +6,12 @@ a sketch of corpus-wide counts in 2 ** SKETCH_BITS buckets (its size does not de
 size s and at least o = ceil(t s) shingles in common with any partner, two linked sets share l of their first
 s - o + l shingles. Each document takes the l that makes its estimated cost least (entries to scan, by the sketch, and
 candidates to verify, which need l shared entries): a costly document reads a longer prefix and needs more matches.
-A pair is verified if it shares min(l, l') entries or more.
+What follows a prefix bounds what a pair can still have in common, so a pair is verified if it shares min(l, l') entries
+and as many more as its overlap needs beyond the longer rest.
 
 So that a group of near copies does not become all its pairs, candidates come in two rounds. First, each document is
-verified against one partner: the least document of its entries' lists that leads most of them; trees of verified
+verified against one partner: lists are led by the document that shares most of its entries (in a group of near copies
+the original has the fewest of its own), and the partner is what leads most of the document's lists; trees of verified
 links are contracted. Then pairs that share entries but are in different trees are counted in full and verified, and
 linked trees are joined. No list, candidate or partner is capped; all links between different sets are found up to the
 connection that they make.
@@ -27,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prospecta.llm.common import docs_only, mixed, slices, strings, words_of, written
@@ -201,7 +203,13 @@ def _links(docs: DataFrame, postings: DataFrame, k: int, percent: int) -> tuple[
 
     met = two.join(members("a"), ["entry", "tree_a"]).join(members("b"), ["entry", "tree_b"])
     met = met.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    counted = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("m_a", "m_b")).alias("needed")).filter("shared >= needed")
+    counted = met.groupBy("a", "b", "n_a", "n_b", "m_a", "m_b").agg(F.count(F.lit(1)).alias("shared"))
+
+    def rest(x: str) -> Column:
+        return F.ceil(F.col(f"n_{x}") * percent / 100) - F.col(f"m_{x}")
+
+    overlap = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
+    counted = counted.filter(F.col("shared") >= F.greatest(F.least("m_a", "m_b"), overlap - F.greatest(rest("a"), rest("b"))))
     tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = counted.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(tested, ["a", "b"], "left_anti")
     return trees, verified(docs, written(pairs, "second"), k, percent)
@@ -217,8 +225,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     first = entries.join(classes.select(F.col("first").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     by_entry = first.select(F.explode("entries").alias("entry"), "doc_id", "n", "matches")
     own = Window.partitionBy("entry")
-    lead = F.first(F.struct("doc_id", "n")).over(own.orderBy("doc_id"))
-    postings = by_entry.withColumn("lead", lead).withColumn("many", F.count(F.lit(1)).over(own)).filter("many > 1").drop("many")
+    lead = F.first(F.struct("doc_id", "n")).over(own.orderBy(F.desc("score"), "doc_id"))
+    several = by_entry.withColumn("many", F.count(F.lit(1)).over(own)).filter("many > 1").drop("many")
+    scored = written(several, "several").withColumn("score", F.count(F.lit(1)).over(Window.partitionBy("doc_id")) / F.col("n"))
+    postings = scored.withColumn("lead", lead).drop("score")
     trees, pairs = _links(docs, written(postings, "postings"), k, percent)
     pairs = written(pairs, "links")
     up = trees.select("node", "root")
@@ -229,6 +239,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         higher = written(components(between), "components")
         lifted = up.join(higher.select(F.col("node").alias("root"), F.col("root").alias("higher")), "root", "left").select("node", F.coalesce("higher", "root").alias("root"))
         up = lifted.unionAll(higher.join(up, "node", "left_anti"))
+    least = up.groupBy("root").agg(F.least(F.min("node"), F.first("root")).alias("least"))
+    up = up.join(least, "root").select("node", F.col("least").alias("root")).unionAll(least.select(F.col("root").alias("node"), F.col("least").alias("root"))).distinct()
     labelled = written(classes.join(up.withColumnRenamed("node", "first"), "first", "left").select("digest", F.coalesce("root", "first").alias("component")), "labelled")
     return all_sets.join(labelled, "digest", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
