@@ -13,9 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text that a Python worker holds as numpy arrays at once; a longer text makes a batch of its own.
-SLICE_BYTES = 4 << 20
-#: Rows of one key that a salted side spreads over this many keys.
-SALTS = 16
+SLICE_BYTES = 2 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:

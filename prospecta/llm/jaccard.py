@@ -6,8 +6,9 @@ a sketch of corpus-wide counts in 2 ** SKETCH_BITS buckets (its size does not de
 size s and at least o = ceil(t s) shingles in common with any partner, two linked sets share l of their first
 s - o + l shingles. Each document takes the l that makes its estimated cost least (entries to scan, by the sketch, and
 candidates to verify, which need l shared entries): a costly document reads a longer prefix and needs more matches.
-What follows a prefix bounds what a pair can still have in common, so a pair is verified if it shares min(l, l') entries
-and as many more as its overlap needs beyond the longer rest.
+Of a pair, the smaller set must show its shared entries in a shorter prefix yet, and what follows the prefixes bounds what
+the pair can still have in common: it is verified if it shares as many entries as its overlap needs beyond the longer
+rest.
 
 So that a group of near copies does not become all its pairs, candidates come in two rounds. First, each document is
 verified against one partner: lists are led by the document that shares most of its entries (in a group of near copies
@@ -29,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prospecta.llm.common import docs_only, mixed, slices, strings, words_of, written
@@ -40,6 +41,8 @@ from prospecta.llm.marks import marked
 SKETCH_BITS, SKETCH_ROW = 20, 1 << 14
 #: Most matches that a prefix may ask for, and the cost of verifying a candidate by shingle against an entry's.
 MOST_MATCHES, VERIFY_COST = 8, 0.05
+#: Matches that the smaller set's short prefix is lengthened for, at most.
+SHORT_MATCHES = 2
 #: Partners of one document that are verified in one group.
 GROUP = 256
 
@@ -192,27 +195,25 @@ def _links(docs: DataFrame, postings: DataFrame, k: int, percent: int) -> tuple[
     leads = led.groupBy("doc_id", F.col("lead.doc_id").alias("lead")).agg(F.count(F.lit(1)).alias("shared"))
     first = written(leads.groupBy("doc_id").agg(F.max(F.struct("shared", (-F.col("lead")).alias("lead"))).alias("best")).select((-F.col("best.lead")).alias("a"), F.col("doc_id").alias("b")), "first")
     trees = roots(verified(docs, first, k, percent).select(F.col("b").alias("node"), F.col("a").alias("parent")))
-    placed = written(postings.join(trees.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("entry", "doc_id", "n", "matches", F.coalesce("root", "doc_id").alias("tree")), "placed")
+    placed = written(postings.join(trees.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("entry", "doc_id", "n", "matches", "short", F.coalesce("root", "doc_id").alias("tree")), "placed")
     mixed_lists = placed.groupBy("entry").agg(F.min("tree").alias("low"), F.max("tree").alias("high")).filter("low < high").select("entry")
     open_ = written(placed.join(mixed_lists, "entry", "left_semi"), "open")
-    side = open_.select("entry", "tree").distinct()
-    two = side.withColumnRenamed("tree", "tree_a").join(side.withColumnRenamed("tree", "tree_b"), "entry").filter("tree_a < tree_b")
+    side, small = (x.select("entry", "tree").distinct() for x in (open_, open_.filter("short")))
+    two = small.withColumnRenamed("tree", "tree_a").join(side.withColumnRenamed("tree", "tree_b"), "entry").filter("tree_a != tree_b")
 
-    def members(x: str) -> DataFrame:
-        return open_.select("entry", F.col("tree").alias(f"tree_{x}"), F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("matches").alias(f"m_{x}"))
+    def members(x: str, rows: DataFrame) -> DataFrame:
+        return rows.select("entry", F.col("tree").alias(f"tree_{x}"), F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("matches").alias(f"m_{x}"))
 
-    met = two.join(members("a"), ["entry", "tree_a"]).join(members("b"), ["entry", "tree_b"])
-    met = met.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    met = two.join(members("a", open_.filter("short")), ["entry", "tree_a"]).join(members("b", open_), ["entry", "tree_b"])
+    smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
+    met = met.filter(smaller & (100 * F.col("n_a") >= percent * F.col("n_b")))
     counted = met.groupBy("a", "b", "n_a", "n_b", "m_a", "m_b").agg(F.count(F.lit(1)).alias("shared"))
-
-    def rest(x: str) -> Column:
-        return F.ceil(F.col(f"n_{x}") * percent / 100) - F.col(f"m_{x}")
-
-    overlap = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
-    counted = counted.filter(F.col("shared") >= F.greatest(F.least("m_a", "m_b"), overlap - F.greatest(rest("a"), rest("b"))))
+    # What follows the prefixes: of the smaller set's short one, of the larger set's long one.
+    rest = F.greatest(F.ceil(F.col("n_a") * 2 * percent / (100 + percent)) - F.least("m_a", F.lit(SHORT_MATCHES)), F.ceil(F.col("n_b") * percent / 100) - F.col("m_b"))
+    counted = counted.filter(F.col("shared") >= F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent)) - rest)
+    pairs = counted.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = counted.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(tested, ["a", "b"], "left_anti")
-    return trees, verified(docs, written(pairs, "second"), k, percent)
+    return trees, verified(docs, written(pairs.join(tested, ["a", "b"], "left_anti"), "second"), k, percent)
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -223,7 +224,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     classes = written(all_sets.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first")), "classes")
     entries = _prefixes(docs, _sketch(parts), k, percent)
     first = entries.join(classes.select(F.col("first").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    by_entry = first.select(F.explode("entries").alias("entry"), "doc_id", "n", "matches")
+    # Of a pair, the smaller set shares its entries within a shorter prefix: it has 2 t / (1 + t) of itself in common.
+    short = F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent)) + F.least("matches", F.lit(SHORT_MATCHES))
+    by_entry = first.select(F.posexplode("entries").alias("pos", "entry"), "doc_id", "n", "matches")
+    by_entry = by_entry.withColumn("short", F.col("pos") < short).drop("pos")
     own = Window.partitionBy("entry")
     lead = F.first(F.struct("doc_id", "n")).over(own.orderBy(F.desc("score"), "doc_id"))
     several = by_entry.withColumn("many", F.count(F.lit(1)).over(own)).filter("many > 1").drop("many")
