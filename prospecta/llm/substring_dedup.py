@@ -5,11 +5,13 @@
    it repeats, and one whose whole surroundings (all strings of SPAN bytes that hold it) also occur elsewhere, that all
    of them do. Both need no more than hashes.
 2. What is left are surroundings that share an anchor with others but differ somewhere. Their bytes are fetched, one for
-   each distinct surroundings; the anchors' groups are dealt to tasks, and there the surroundings are shards whose
+   each distinct surroundings; the anchors' groups are dealt to tasks. There, what the strings of CELL neighbouring starts
+   have in common must occur twice, else none of them repeats; the surroundings that remain are shards whose
    Burrows-Wheeler transforms are merged by interleave refinement (bwt.py): intervals with a common prefix of SPAN bytes
    are the repeats. Suffixes of different anchors' groups need no comparison, so nothing larger is ever sorted.
-3. Groups of more than LARGE distinct surroundings would be too much for a task: their strings are hashed (128 bits) and
-   counted instead, spread over all tasks by hash.
+3. Where one cell's strings are more than a merge holds, they are hashed (128 bits) and counted in the task instead;
+   anchors of more than LARGE distinct surroundings would be too much for a task, and their strings are hashed and counted
+   over all tasks.
 4. Spans are united for each text and cut.
 
 Equal texts are one text with a number; if it has SPAN bytes or more, all of its rows are removed whole.
@@ -38,7 +40,9 @@ SPAN = bwt.BLOCK * bwt.DEPTH
 ANCHOR = 100
 WINDOW = SPAN - ANCHOR + 1
 #: Distinct surroundings of one anchor beyond which step 3 is taken, and bytes of surroundings that a merge holds.
-LARGE, MERGE_BYTES = 50_000, 4 << 20
+LARGE, MERGE_BYTES = 50_000, 1 << 20
+#: Starts whose common bytes must occur twice before their strings are merged.
+CELL = 20
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -87,7 +91,7 @@ def _anchors(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in slices(batches):
+        for batch in slices(batches, 2 << 20):
             texts = [x for x in batch.column("text").cast(pa.binary()).to_pylist() if len(x) >= SPAN]
             keys = list(map(_key, texts))
             new = [i for i, x in enumerate(keys) if x not in seen]
@@ -134,37 +138,83 @@ def _with_key(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
     return pa.RecordBatch.from_arrays([pa.array(keys), batch.column("text")], names=["key", "text"]), keys
 
 
+def _cells(raw: bytes, at: int) -> Iterator[tuple[int, int, int]]:
+    """(first, last start, hash of what all their strings hold) for each CELL starts up to the anchor at `at`."""
+    for last in range(at, max(-1, at - WINDOW), -CELL):
+        stop = last - CELL + 1 + SPAN
+        if last + SPAN - CELL + 1 <= len(raw):
+            yield max(0, last - CELL + 1), last, xxhash.xxh3_64_intdigest(memoryview(raw)[last:stop], at - last)
+
+
+def _narrowed(held: list[tuple]) -> tuple[list[list[tuple[int, int, bytes]]], list[tuple[int, int]]]:
+    """(blocks of (key, low, bytes) to merge, (key, start) of repeats found on the way) of surroundings held by a task.
+
+    Starts whose cell shows no repeat are left out. If one anchor's surroundings are more than a merge holds, each cell's
+    strings are a block of their own, and those of a cell that is still too large are counted by 128-bit hash.
+    """
+    cells: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    for i, (anchor, _, pos, low, raw) in enumerate(held):
+        for a, b, h in _cells(raw, pos - low):
+            cells.setdefault((anchor, h), []).append((i, a, b))
+    several = [x for x in cells.values() if len({(held[i][1], held[i][3] + b) for i, _, b in x}) > 1]
+    if sum(len(x[4]) for x in held) <= 2 * MERGE_BYTES:
+        reach: dict[int, tuple[int, int]] = {}
+        for own in several:
+            for i, a, b in own:
+                low, high = reach.get(i, (a, b))
+                reach[i] = min(low, a), max(high, b)
+        return [[(held[i][1], held[i][3] + a, held[i][4][a:b + SPAN]) for i, (a, b) in reach.items()]], []
+    blocks, size, found = [[]], 0, []
+    for own in several:
+        if len(own) * (SPAN + CELL) > MERGE_BYTES:
+            at: dict[bytes, list[tuple[int, int]]] = {}
+            for i, a, b in own:
+                for j in range(a, b + 1):
+                    if len(string := held[i][4][j:j + SPAN]) == SPAN:
+                        at.setdefault(xxhash.xxh3_128_digest(string), []).append((held[i][1], held[i][3] + j))
+            found += [place for places in at.values() if len(set(places)) > 1 for place in places]
+            continue
+        if size > MERGE_BYTES:
+            blocks.append([])
+            size = 0
+        blocks[-1] += [(held[i][1], held[i][3] + a, held[i][4][a:b + SPAN]) for i, a, b in own]
+        size += len(own) * (SPAN + CELL)
+    return blocks, found
+
+
 def _merged(contexts: DataFrame) -> DataFrame:
     """key, start and stop of repeats that the merged transforms of each anchor's surroundings show."""
+    names = ["key", "start", "stop"]
 
     def spans(held: list[tuple]) -> pa.RecordBatch:
-        # The key of a place: which text, and where in it.
-        _, text = np.unique(np.array([x[0] for x in held], np.int64), return_inverse=True)
-        places = text.astype(np.int64) * (1 << 32) + np.array([x[1] for x in held], np.int64)
-        found = bwt.repeats([x[2] for x in held], places, text % 2)
-        key, start, stop = [], [], []
-        for (own, low, _), at in zip(held, found, strict=True):
-            if len(at):
-                edge = np.flatnonzero(np.diff(at) > 1)
-                begin, end = at[np.concatenate([[0], edge + 1])], at[np.concatenate([edge, [len(at) - 1]])]
-                key += [own] * len(begin)
-                start += (begin + low).tolist()
-                stop += (end + low + SPAN).tolist()
-        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], names=["key", "start", "stop"])
+        blocks, found = _narrowed(held)
+        key, start, stop = [x for x, _ in found], [x for _, x in found], [x + SPAN for _, x in found]
+        for block in filter(None, blocks):
+            # The key of a place: which text, and where in it.
+            _, text = np.unique(np.array([x[0] for x in block], np.int64), return_inverse=True)
+            places = text.astype(np.int64) * (1 << 32) + np.array([x[1] for x in block], np.int64)
+            for (own, low, _), at in zip(block, bwt.repeats([x[2] for x in block], places, text % 2), strict=True):
+                if len(at):
+                    edge = np.flatnonzero(np.diff(at) > 1)
+                    begin, end = at[np.concatenate([[0], edge + 1])], at[np.concatenate([edge, [len(at) - 1]])]
+                    key += [own] * len(begin)
+                    start += (begin + low).tolist()
+                    stop += (end + low + SPAN).tolist()
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, last = [], 0, None
         for batch in batches:
-            for anchor, key, low, raw in zip(*(batch.column(x).to_pylist() for x in ("anchor", "key", "low", "bytes")), strict=True):
-                if size > MERGE_BYTES and anchor != last:
+            for row in zip(*(batch.column(x).to_pylist() for x in ("anchor", "key", "pos", "low", "bytes")), strict=True):
+                if size > MERGE_BYTES and row[0] != last:
                     yield spans(held)
                     held, size = [], 0
-                held.append((key, low, raw))
-                size, last = size + len(raw), anchor
+                held.append(row)
+                size, last = size + len(row[4]), row[0]
         if held:
             yield spans(held)
 
-    return contexts.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "key", "low", "bytes").mapInArrow(run, "key long, start int, stop int")
+    return contexts.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "key", "pos", "low", "bytes").mapInArrow(run, "key long, start int, stop int")
 
 
 def _counted(contexts: DataFrame) -> DataFrame:
