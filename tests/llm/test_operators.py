@@ -254,16 +254,21 @@ def test_merged_transforms(monkeypatch):
             assert [x.tolist() for x in got] == [[i for i in range(len(x) - block * depth + 1) if count[x[i:i + block * depth]] > 1] for x in made]
 
 
-def test_line_dedup(docs):
-    lines = [(d, i, set(re.findall(r"[^\x20\x09-\x0D]+", x))) for d, t in sorted(texts().items()) for i, x in enumerate((t or "").split("\n"))]
+@pytest.mark.parametrize("k", [5, 1])
+def test_line_dedup(docs, k):
+    lines = []
+    for d, t in sorted(texts().items()):
+        for i, x in enumerate((t or "").split("\n")):
+            words = re.findall(r"[^\x20\x09-\x0D]+", x)
+            lines.append((d, i, {tuple(words[j:j + k]) for j in range(len(words) - k + 1)}))
     gone = collections.defaultdict(list)
-    judged = [x for x in lines if len(x[2]) >= 5]
+    judged = [x for x in lines if x[2]]
     for n, (d, i, words) in enumerate(judged):
         if any(100 * len(words & o) >= 80 * len(words | o) for _, _, o in judged[:n]):
             gone[d].append(i)
-    got = {x.doc_id: (x.n_lines, x.removed_lines) for x in dedup_report(docs).collect()}
+    got = {x.doc_id: (x.n_lines, x.removed_lines) for x in dedup_report(docs, 80, k).collect()}
     assert got == {d: (len((t or "").split("\n")), gone[d]) for d, t in texts().items()}
-    cut = without_repeated_lines(docs)
+    cut = without_repeated_lines(docs, 80, k)
     assert cut.columns == docs.columns
     for x in cut.collect():
         t = texts()[x.doc_id]
@@ -312,12 +317,13 @@ def test_chat(spark):
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
+    long = next(d for d, t in texts().items() if len(t.split(" ")) > 200)
     made = table(spark, texts().items()).select("doc_id", "text", "lang", "source", "n_chars")
     made.write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(1, " ".join((texts()[4] or "").split(" ")[20:40]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, " ".join((texts()[long] or "").split(" ")[20:40]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
     kept = {x.doc_id for x in quality(made).filter("kept").collect()}
-    assert {x.doc_id for x in got} <= kept and not {4, 70, 71, 72, 73} & {x.doc_id for x in got}
+    assert {x.doc_id for x in got} <= kept and not {long, 70, 71, 72, 73} & {x.doc_id for x in got}
     now = spark.read.parquet(f"file://{tmp_path}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         before = {x.doc_id for x in now.collect()}
