@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from prospecta import fixed
 from prospecta.operators import events as e
 from prospecta.operators import relational as r
-from prospecta.schema import LEDGER_SCHEMA, REGISTRY_SCHEMA, RUN_SCHEMA, STORED_SCHEMA, as_events
+from prospecta.schema import EVENT_FIELDS, LEDGER_SCHEMA, REGISTRY_SCHEMA, RUN_SCHEMA, STORED_SCHEMA, as_events
 
 TABLES = {"events": STORED_SCHEMA, "ledger": LEDGER_SCHEMA, "registry": REGISTRY_SCHEMA, "runs": RUN_SCHEMA}
 
@@ -86,7 +86,7 @@ class Store:
         return self._pointer("events") is not None
 
     def load_events(self, start: str, end: str, ciks: list[str] | None = None) -> DataFrame:
-        return e.range_scan(as_events(self.table("events")), start, end, ciks)
+        return e.range_scan(as_events(self.table("events")).select(*EVENT_FIELDS), start, end, ciks)
 
     def upsert_events(self, events: DataFrame, parser_version: int = fixed.PARSER_VERSION) -> dict[str, int]:
         """Events by id, the last of equal ids wins; a blank id is an error. Returns how many were added and updated."""
@@ -170,14 +170,14 @@ def load_store_first(store: Store, start: dt.date, end: dt.date, ciks: list[str]
         begin = max(start, covered - dt.timedelta(days=fixed.OVERLAP_DAYS)) if covered else start
         try:
             found, errors = live(begin, end, ciks)
-            source = "store+live" if covered else "live"
-            number = F.monotonically_increasing_id()
-            merged = r.merge_by_key(stored.withColumn("ord", number), as_events(found).withColumn("ord", number), "event_id").drop("ord", "place")
-            if errors:
-                notices.append("the top-up is incomplete for some filers")
         except Exception as error:
             notices.append(f"the top-up failed: {error}")
-            errors = dict.fromkeys(ciks, str(error))
+            found, errors = None, dict.fromkeys(ciks, str(error))
+        if found is not None:
+            source, number = "store+live" if covered else "live", F.monotonically_increasing_id()
+            merged = r.merge_by_key(stored.withColumn("ord", number), as_events(found).select(*EVENT_FIELDS).withColumn("ord", number), "event_id").drop("ord", "place")
+            if errors:
+                notices.append("the top-up is incomplete for some filers")
     events = e.finalize(merged, start, end)
     dim = spark.createDataFrame([(x, errors.get(x, "")) for x in ciks], "cik string, error string")
     counts = events.groupBy("cik").agg(F.count(F.lit(1)).alias("n_events"))
