@@ -13,7 +13,7 @@ from prospecta.schema import NOT_LISTED
 
 #: Entities decoded without a UDF; parse functions, which see any document, decode all of them.
 ENTITIES = (("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&amp;", "&"))
-SPACES = r"[\s\u0085   -‏ -  ⁠　﻿]+"
+SPACES = r"[\s\u0085\u00a0\u1680\u2000-\u200f\u2028-\u202f\u205f\u2060\u3000\ufeff]+"
 
 
 def text(value: Column) -> Column:
