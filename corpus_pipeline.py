@@ -1,6 +1,6 @@
 """A corpus pipeline of five operators, each stage written as Parquet and read again.
 
-Quality rules drop documents, line dedup cuts repeated lines (documents of which no line of five words is left go), the n-gram Jaccard
+Quality rules drop documents, line dedup cuts repeated lines (documents of which no line with a word is left go), the n-gram Jaccard
 join keeps the least doc_id of each group, decontamination drops documents with benchmark passages, and what stays is
 encoded. All stages but the last return the columns of `documents`. doc_id must be unique.
 """
@@ -26,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that match an earlier line, and only those with a line left; n_chars follows the text."""
-    cut = without_repeated_lines(docs, percent=80, k=5, drop_emptied=True)
+    cut = without_repeated_lines(docs, percent=80, k=1, drop_emptied=True)
     return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cut
 
 

@@ -331,3 +331,11 @@ def test_pipeline(spark, tmp_path):
         assert now.columns == made.columns and {x.doc_id for x in now.collect()} <= before, name
     lib = library(WORD)
     assert {x.doc_id: x.ids for x in got} == {x.doc_id: lib.encode(x.text, add_special_tokens=False).ids for x in now.collect()}
+
+
+def test_short_lines_and_words_in_any_order_match(spark):
+    from prospecta.llm import q_line_dedup
+
+    rows = [(1, "Les.\none two three four five\nAnd ornd.\n\nLes."), (2, "five four three two one\nornd. And\nLes.\none two three four\n\nthree"), (3, "And three\n three \none two three")]
+    gone = {x.doc_id: x.removed_lines for x in dedup_report(table(spark, rows), q_line_dedup.PERCENT, q_line_dedup.SHINGLE).collect()}
+    assert gone == {1: [4], 2: [0, 1, 2, 3], 3: [1]}
