@@ -339,3 +339,10 @@ def test_short_lines_and_words_in_any_order_match(spark):
     rows = [(1, "Les.\none two three four five\nAnd ornd.\n\nLes."), (2, "five four three two one\nornd. And\nLes.\none two three four\n\nthree"), (3, "And three\n three \none two three")]
     gone = {x.doc_id: x.removed_lines for x in dedup_report(table(spark, rows), q_line_dedup.PERCENT, q_line_dedup.SHINGLE).collect()}
     assert gone == {1: [4], 2: [0, 1, 2, 3], 3: [1]}
+
+
+@pytest.mark.parametrize("k", [5, 1])
+def test_only_documents_without_a_word_left_are_dropped(spark, k):
+    rows = [(1, "one two three four five"), (2, "roses\none two three four five\n red"), (3, "one two three four five\n \t"), (4, ""), (5, None)]
+    left = {x.doc_id: x.text for x in without_repeated_lines(table(spark, rows), 80, k, drop_emptied=True).collect()}
+    assert left == {1: rows[0][1], 2: "roses\n red", 4: "", 5: None}
