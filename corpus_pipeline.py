@@ -1,8 +1,9 @@
 """A corpus pipeline of five operators, each stage written as Parquet and read again.
 
 Quality rules drop documents, line dedup cuts repeated lines (documents of which no line with a word is left go), the n-gram Jaccard
-join keeps the least doc_id of each group, decontamination drops documents with benchmark passages, and what stays is
-encoded. All stages but the last return the columns of `documents`. doc_id must be unique.
+join keeps one row of the least doc_id of each group and all rows without doc_id, decontamination drops documents with benchmark passages, and what stays is
+encoded. All stages but the last return the columns of `documents`. Line dedup expects unique
+doc_ids.
 """
 
 from __future__ import annotations
@@ -31,9 +32,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near duplicates, by five-word shingles and a similarity of 0.8."""
-    first = jaccard_components(docs, k=5, percent=80).filter("doc_id = component_id").select("doc_id")
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    """One row of each group of near duplicates, of its least doc_id, by five-word shingles and a similarity of 0.8. Rows
+    are numbered, so that rows of one doc_id are documents of their own; a row without doc_id is its own group."""
+    numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    known = numbered.filter("doc_id is not null")
+    groups = jaccard_components(known.select(F.col("__row").alias("doc_id"), "text"), k=5, percent=80).select(F.col("doc_id").alias("__row"), "component_id")
+    least = known.select("__row", "doc_id").join(groups, "__row").groupBy("component_id").agg(F.min(F.struct("doc_id", "__row")).alias("least"))
+    first = least.select(F.col("least.__row").alias("__row"))
+    return known.join(first, "__row", "left_semi").select(*docs.columns).unionAll(numbered.filter("doc_id is null").select(*docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

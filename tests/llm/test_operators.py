@@ -346,3 +346,15 @@ def test_only_documents_without_a_word_left_are_dropped(spark, k):
     rows = [(1, "one two three four five"), (2, "roses\none two three four five\n red"), (3, "one two three four five\n \t"), (4, ""), (5, None)]
     left = {x.doc_id: x.text for x in without_repeated_lines(table(spark, rows), 80, k, drop_emptied=True).collect()}
     assert left == {1: rows[0][1], 2: "roses\n red", 4: "", 5: None}
+
+
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    one, two, three = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(None, one), (None, one), (3, one), (3, one), (2, two), (2, three), (5, two), (7, two + " end"), (8, None), (8, "")]
+    docs = table(spark, rows)
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    want = [(None, one), (None, one), (3, one), (2, two), (2, three), (8, None), (8, "")]
+    assert collections.Counter((x.doc_id, x.text) for x in got.collect()) == collections.Counter(want)
