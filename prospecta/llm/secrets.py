@@ -4,7 +4,9 @@ Base kinds are found by patterns in every whole text. Candidates are the base ma
 hashes are aggregated over the whole corpus by distinct owners and repositories (one row for each hash, owner and
 repository first, so that a value in a third of all rows is summed before it is moved); a value of at most `max_owners`
 owners that looks live (letters, digits, enough different characters) is an owner-specific credential, one of more is
-a widely copied example. Owner-specific long tokens are added to the spans as kind `owned`; base spans stay.
+a widely copied example. The verdict is by owners alone: an owner may use a value in many repositories of their own. The
+number of repositories (pairs of owner and repository) is returned by row: `most_repositories`, the most that any live-looking
+owner-specific value of the row is in, 0 without one. Owner-specific long tokens are added to the spans as kind `owned`; base spans stay.
 
 Only DataFrame functions are used. Positions come from the pieces between matches: split() and regexp_extract_all()
 walk the same leftmost matches. Texts are read once; what is moved has spans and hashes alone.
@@ -82,16 +84,18 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, owner: Column, repository: Column, max_owners: int = MAX_OWNERS) -> DataFrame:
-    """doc_id, base and spans (arrays of kind, start, end in digest order), n_specific and n_copied for each row."""
+    """doc_id, base and spans (arrays of kind, start, end in digest order), n_specific, n_copied and most_repositories for
+    each row."""
     found = written(candidates(docs, owner, repository), "secrets")
     corpus = written(ownership(found), "ownership")
     # Both sides are exchanged by hash, so the cluster can split a value that is in very many rows.
     each = found.select("row", F.explode(F.concat("base", "long")).alias("s")).select("row", "s.*")
-    judged = each.join(corpus.select("hash", (F.col("n_owners") <= max_owners).alias("specific")), "hash")
+    judged = each.join(corpus.select("hash", "n_repositories", (F.col("n_owners") <= max_owners).alias("specific")), "hash")
     by_row = judged.groupBy("row").agg(
         F.collect_list(F.when((F.col("order") == 3) & F.col("specific"), F.struct("start", "order", "end"))).alias("owned"),
         F.count_distinct(F.when(F.col("specific") & F.col("live"), F.col("hash"))).alias("n_specific"),
         F.count_distinct(F.when(~F.col("specific"), F.col("hash"))).alias("n_copied"),
+        F.max(F.when(F.col("specific") & F.col("live"), F.col("n_repositories"))).alias("most_repositories"),
     )
     all_rows = found.select("row", "doc_id", F.transform("base", lambda s: F.struct(s.start.alias("start"), s.order.alias("order"), s.end.alias("end"))).alias("base"))
     joined = all_rows.join(by_row, "row", "left")
@@ -102,7 +106,8 @@ def scan(docs: DataFrame, owner: Column, repository: Column, max_owners: int = M
     return joined.select(
         "doc_id", named(F.col("base")).alias("base"),
         named(F.array_sort(F.concat("base", F.coalesce("owned", F.array().cast("array<struct<start:bigint,order:int,end:bigint>>"))))).alias("spans"),
-        F.coalesce("n_specific", F.lit(0)).alias("n_specific"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"))
+        F.coalesce("n_specific", F.lit(0)).alias("n_specific"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"),
+        F.coalesce("most_repositories", F.lit(0)).cast("long").alias("most_repositories"))
 
 
 def digest(spans: Column) -> Column:

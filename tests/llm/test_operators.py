@@ -358,3 +358,10 @@ def test_near_duplicates_of_null_and_repeated_ids(spark):
     assert got.columns == docs.columns
     want = [(None, one), (None, one), (3, one), (2, two), (2, three), (8, None), (8, "")]
     assert collections.Counter((x.doc_id, x.text) for x in got.collect()) == collections.Counter(want)
+
+
+def test_secrets_in_many_repositories_of_one_owner(spark):
+    token = 'key token="abcdefgh12345678abcdXYZ0"'
+    made = spark.createDataFrame([(i, token, "one", f"repo{i}") for i in range(7)] + [(9, "no key", "one", "repo1")], "doc_id long, text string, owner string, repo string")
+    found = {x.doc_id: (x.n_specific, x.n_copied, x.most_repositories) for x in secrets.scan(made, F.col("owner"), F.col("repo")).collect()}
+    assert found == {i: (1, 0, 7) for i in range(7)} | {9: (0, 0, 0)}
