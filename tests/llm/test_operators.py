@@ -365,3 +365,94 @@ def test_secrets_in_many_repositories_of_one_owner(spark):
     made = spark.createDataFrame([(i, token, "one", f"repo{i}") for i in range(7)] + [(9, "no key", "one", "repo1")], "doc_id long, text string, owner string, repo string")
     found = {x.doc_id: (x.n_specific, x.n_copied, x.most_repositories) for x in secrets.scan(made, F.col("owner"), F.col("repo")).collect()}
     assert found == {i: (1, 0, 7) for i in range(7)} | {9: (0, 0, 0)}
+
+
+def brute_pipeline(made: dict[int, str | None], items: list[str]) -> dict[int, tuple[int, list[int], str, str]]:
+    """The five stages, without the operators."""
+    def grams(words, n):
+        return collections.Counter(tuple(words[i:i + n]) for i in range(len(words) - n + 1))
+
+    def inside(words, n):
+        seen = grams(words, n)
+        return len({j for i in range(len(words) - n + 1) if seen[tuple(words[i:i + n])] > 1 for j in range(i, i + n)})
+
+    def longest(words):
+        n = 0
+        while any(c > 1 for c in grams(words, n + 1).values()):
+            n += 1
+        return n
+
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    now = {}
+    for d, t in made.items():
+        words = word.findall(t or "")
+        size = len(words)
+        if size >= 50 and 2 * inside(words, 3) <= size and inside(words, 10) <= 0.4 * size and longest(words) <= 0.25 * size:
+            now[d] = t
+    earlier, cut = [], {}
+    for d, t in sorted(now.items()):
+        left, lost = [], False
+        for line in t.split("\n"):
+            own = set(word.findall(line))
+            if own and any(100 * len(own & o) >= 80 * len(own | o) for o in earlier):
+                lost = True
+            else:
+                left.append(line)
+            if own:
+                earlier.append(own)
+        if not lost or any(word.search(x) for x in left):
+            cut[d] = "\n".join(left)
+    sets = {d: shingles(t, 5) for d, t in cut.items()}
+    group = {d: d for d in cut}
+    for a in cut:
+        for b in cut:
+            common = len(sets[a] & sets[b])
+            if a < b and common and 100 * common >= 80 * len(sets[a] | sets[b]) and group[a] != group[b]:
+                low, high = sorted((group[a], group[b]))
+                group = {d: low if g == high else g for d, g in group.items()}
+    first = {d: t for d, t in cut.items() if group[d] == d}
+    latin, low = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), {i: i + 32 for i in range(65, 91)}
+    clean = {}
+    for d, t in first.items():
+        words, hit = latin.findall(t.translate(low)), False
+        for item in items:
+            own = latin.findall(item.translate(low))
+            n = min(10, len(own))
+            hit |= bool(n) and bool(grams(words, n).keys() & grams(own, n).keys())
+        if not hit:
+            clean[d] = t
+    lib, out = library(WORD), {}
+    for d, t in clean.items():
+        ids = lib.encode(t, add_special_tokens=False).ids
+        digest = hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        out[d] = (len(ids), ids, digest, hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+    return out
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rnd = random.Random(11)
+
+    def line(n):
+        return " ".join(f"w{rnd.randrange(3000)}" for _ in range(n))
+
+    made = texts()
+    common, passage = line(12), line(16)
+    made |= {i: "\n".join([line(9) for _ in range(9)] + [common, "Short one."]) for i in range(100, 112)}
+    verse = "\n".join(line(11) for _ in range(8))
+    made |= {120: verse, 121: verse, 122: verse + "\nan end", 123: line(40) + " " + passage + " " + line(40)}
+    block = line(90)
+    made |= {130: block, 131: block + " " + line(2), 132: block + " " + line(30)}
+    # Each line is near an earlier one in words, but not the order of the words: line dedup alone takes them.
+    made[133] = " ".join(reversed(block.split(" ")))
+    # Lines broken elsewhere match none, the shingles do: the join takes it.
+    words = line(160).split(" ")
+    made |= {140: " ".join(words), 141: " ".join(words[:60]) + "\n" + " ".join(words[60:])}
+    items = [passage, "nowhere to be found"]
+    table(spark, made.items()).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
+    got = {x.doc_id: (x.n_tokens, x.ids, x.ids_sha256, x.decoded_sha256) for x in rows}
+    assert len(got) == len(rows) and got == brute_pipeline(made, items)
+    assert {120, 122, 130, 132, 140, *range(100, 112)} & set(got) >= {120, 122, 130, 132, 140, 100} and not {121, 123, 133, 141} & set(got)
