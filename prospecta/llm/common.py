@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -36,6 +37,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver drop plans that are done with, so that Spark's cleaner removes their shuffle files now and not at its
+    next chance."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """df as a table in the shared folder, in as many buckets of `key` as shuffles have partitions: joins of it with itself
+    by that key move nothing."""
+    spark = df.sparkSession
+    table, n = f"{name}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{shared_folder(spark)}/prospecta/{table}"
+    df.write.bucketBy(n, key).option("compression", "zstd").option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
