@@ -15,11 +15,14 @@ verified against one partner: lists are led by the document that shares most of
 the original has the fewest of its own), and the partner is what leads most of the document's lists; trees of verified
 links are contracted. Then pairs that share entries but are in different trees are counted in full and verified, and
 linked trees are joined. No list, candidate or partner is capped; all links between different sets are found up to the
-connection that they make.
+connection that they make. Documents that share much but are not alike enough (variants of one text) would be all pairs of
+a list: so each set has the parities of SIGNATURE_WORDS * 64 kinds of its shingles, and pairs that differ in more parities
+than alike sets can are left out where the lists meet.
 
 Defined results: a null or empty text, or one without words, has no shingles and is its own component; a text of fewer
-words than a shingle is one shingle; repeated rows link as copies; rows without doc_id link with nothing and have a
-null component; an empty table gives an empty result; other columns are ignored.
+words than a shingle is one shingle; repeated rows link as copies; rows of one doc_id are documents of their own, each
+with its component; rows without doc_id link with nothing and have a null component; a text of any length is one set in
+one task; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,6 +46,9 @@ SKETCH_BITS, SKETCH_ROW = 20, 1 << 14
 MOST_MATCHES, VERIFY_COST = 8, 0.05
 #: Matches that the smaller set's short prefix is lengthened for, at most.
 SHORT_MATCHES = 2
+#: Words of 64 parities in a signature: at this size it tells variants of up to some 1,000 shingles apart.
+SIGNATURE_WORDS = 8
+SIGNATURE = [f"s{i}" for i in range(SIGNATURE_WORDS)]
 #: Partners of one document that are verified in one group.
 GROUP = 256
 
@@ -74,8 +80,19 @@ def least_common(size: int, percent: int) -> int:
     return -(-percent * size // 100)
 
 
+def signatures(sets: list[np.ndarray]) -> list[pa.Array]:
+    """Columns SIGNATURE of some sets: whether each kind of shingle is in a set an odd number of times."""
+    kinds = 64 * SIGNATURE_WORDS
+    of = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    flat = (np.concatenate([*sets, np.zeros(0, np.uint64)]) % np.uint64(kinds)).astype(np.int64)
+    odd = np.bincount(of * kinds + flat, minlength=len(sets) * kinds).astype(np.uint8) & 1
+    words = np.packbits(odd.reshape(len(sets), SIGNATURE_WORDS, 64), axis=2).view(np.int64).reshape(len(sets), SIGNATURE_WORDS)
+    return [pa.array(np.ascontiguousarray(words[:, i])) for i in range(SIGNATURE_WORDS)]
+
+
 def _classes(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """Written (doc_id, n, digest) of all documents, and written partial sketches (block, counts)."""
+    """Written (doc_id, n, digest, signature) of all documents, and written partial sketches (block, counts)."""
+    longs = ", ".join(f"{x} long" for x in SIGNATURE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -90,18 +107,18 @@ def _classes(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
                 counts += np.bincount((np.concatenate(new) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
             none = pa.nulls(len(sets), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(list(map(len, sets)), pa.int64()), pa.array(digests, pa.binary()), none, pa.nulls(len(sets), pa.binary())],
-                names=["doc_id", "n", "digest", "block", "counts"])
+                [batch.column("doc_id"), pa.array(list(map(len, sets)), pa.int64()), pa.array(digests, pa.binary()), none, pa.nulls(len(sets), pa.binary()), *signatures(sets)],
+                names=["doc_id", "n", "digest", "block", "counts", *SIGNATURE])
         rows = [(i, counts[i * SKETCH_ROW:(i + 1) * SKETCH_ROW]) for i in range(len(counts) // SKETCH_ROW)]
         rows = [(i, x.astype("<u4").tobytes()) for i, x in rows if x.any()]
         if rows:
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.binary()),
-                 pa.array([i for i, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())],
-                names=["doc_id", "n", "digest", "block", "counts"])
+                 pa.array([i for i, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary()), *[pa.nulls(len(rows), pa.int64())] * SIGNATURE_WORDS],
+                names=["doc_id", "n", "digest", "block", "counts", *SIGNATURE])
 
-    both = written(docs.mapInArrow(run, "doc_id long, n long, digest binary, block int, counts binary"), "sets")
-    return both.filter("block is null").select("doc_id", "n", "digest"), both.filter("block is not null").select("block", "counts")
+    both = written(docs.mapInArrow(run, f"doc_id long, n long, digest binary, block int, counts binary, {longs}"), "sets")
+    return both.filter("block is null").select("doc_id", "n", "digest", *SIGNATURE), both.filter("block is not null").select("block", "counts")
 
 
 def _sketch(parts: DataFrame) -> np.ndarray:
@@ -188,7 +205,7 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _links(docs: DataFrame, postings: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def _links(docs: DataFrame, postings: DataFrame, sets: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(node, root) of the trees of the first round, and verified pairs between trees."""
     close = 100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")
     led = postings.filter((F.col("doc_id") != F.col("lead.doc_id")) & close)
@@ -197,21 +214,21 @@ def _links(docs: DataFrame, postings: DataFrame, k: int, percent: int) -> tuple[
     trees = roots(verified(docs, first, k, percent).select(F.col("b").alias("node"), F.col("a").alias("parent")))
     placed = written(postings.join(trees.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("entry", "doc_id", "n", "matches", "short", F.coalesce("root", "doc_id").alias("tree")), "placed")
     mixed_lists = placed.groupBy("entry").agg(F.min("tree").alias("low"), F.max("tree").alias("high")).filter("low < high").select("entry")
-    open_ = written(placed.join(mixed_lists, "entry", "left_semi"), "open")
-    side, small = (x.select("entry", "tree").distinct() for x in (open_, open_.filter("short")))
-    two = small.withColumnRenamed("tree", "tree_a").join(side.withColumnRenamed("tree", "tree_b"), "entry").filter("tree_a != tree_b")
+    signed = sets.select("doc_id", *SIGNATURE)
+    open_ = written(placed.join(mixed_lists, "entry", "left_semi").join(signed, "doc_id"), "open")
 
-    def members(x: str, rows: DataFrame) -> DataFrame:
-        return rows.select("entry", F.col("tree").alias(f"tree_{x}"), F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("matches").alias(f"m_{x}"))
+    def side(x: str, rows: DataFrame) -> DataFrame:
+        return rows.select("entry", F.col("doc_id").alias(x), *[F.col(y).alias(f"{y}_{x}") for y in ("tree", "n", "matches", *SIGNATURE)])
 
-    met = two.join(members("a", open_.filter("short")), ["entry", "tree_a"]).join(members("b", open_), ["entry", "tree_b"])
+    met = side("a", open_.filter("short")).join(side("b", open_), "entry")
     smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
-    met = met.filter(smaller & (100 * F.col("n_a") >= percent * F.col("n_b")))
-    counted = met.groupBy("a", "b", "n_a", "n_b", "m_a", "m_b").agg(F.count(F.lit(1)).alias("shared"))
+    least = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
+    unlike = sum((F.bit_count(F.col(f"{x}_a").bitwiseXOR(F.col(f"{x}_b"))) for x in SIGNATURE[1:]), F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))))
+    met = met.filter((F.col("tree_a") != F.col("tree_b")) & smaller & (100 * F.col("n_a") >= percent * F.col("n_b")) & (unlike <= F.col("n_a") + F.col("n_b") - 2 * least))
+    counted = met.groupBy("a", "b", "n_a", "n_b", "matches_a", "matches_b").agg(F.count(F.lit(1)).alias("shared"))
     # What follows the prefixes: of the smaller set's short one, of the larger set's long one.
-    rest = F.greatest(F.ceil(F.col("n_a") * 2 * percent / (100 + percent)) - F.least("m_a", F.lit(SHORT_MATCHES)), F.ceil(F.col("n_b") * percent / 100) - F.col("m_b"))
-    counted = counted.filter(F.col("shared") >= F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent)) - rest)
-    pairs = counted.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = F.greatest(F.ceil(F.col("n_a") * 2 * percent / (100 + percent)) - F.least("matches_a", F.lit(SHORT_MATCHES)), F.ceil(F.col("n_b") * percent / 100) - F.col("matches_b"))
+    pairs = counted.filter(F.col("shared") >= least - rest).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return trees, verified(docs, written(pairs.join(tested, ["a", "b"], "left_anti"), "second"), k, percent)
 
@@ -220,10 +237,21 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     """doc_id, n_shingles and component_id (the least doc_id that links reach) of every document; links are pairs with
     100 |A and B| >= percent |A or B|."""
     docs = docs_only(docs)
+    if docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return _components(docs, k, percent)
+    rows = written(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    own = written(_components(rows.select(F.when(F.col("doc_id").isNotNull(), F.col("row")).alias("doc_id"), "text").filter("doc_id is not null"), k, percent), "by-row")
+    known = rows.select(F.col("row"), F.col("doc_id").alias("id")).join(own.withColumnRenamed("doc_id", "row"), "row")
+    least = known.groupBy("component_id").agg(F.min("id").alias("least"))
+    none = _components(rows.filter("doc_id is null").select("doc_id", "text"), k, percent)
+    return known.join(least, "component_id").select(F.col("id").alias("doc_id"), "n_shingles", F.col("least").alias("component_id")).unionAll(none)
+
+
+def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     all_sets, parts = _classes(docs, k)
     classes = written(all_sets.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first")), "classes")
     entries = _prefixes(docs, _sketch(parts), k, percent)
-    first = entries.join(classes.select(F.col("first").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    first = entries.join(classes.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
     # Of a pair, the smaller set shares its entries within a shorter prefix: it has 2 t / (1 + t) of itself in common.
     short = F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent)) + F.least("matches", F.lit(SHORT_MATCHES))
     by_entry = first.select(F.posexplode("entries").alias("pos", "entry"), "doc_id", "n", "matches")
@@ -233,7 +261,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     several = by_entry.withColumn("many", F.count(F.lit(1)).over(own)).filter("many > 1").drop("many")
     scored = written(several, "several").withColumn("score", F.count(F.lit(1)).over(Window.partitionBy("doc_id")) / F.col("n"))
     postings = scored.withColumn("lead", lead).drop("score")
-    trees, pairs = _links(docs, written(postings, "postings"), k, percent)
+    trees, pairs = _links(docs, written(postings, "postings"), all_sets, k, percent)
     pairs = written(pairs, "links")
     up = trees.select("node", "root")
     if not pairs.isEmpty():
