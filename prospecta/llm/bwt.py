@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 
-BLOCK, DEPTH = 40, 5
+BLOCK, DEPTH = 50, 4
 
 
 def rolling(raw: np.ndarray, span: int) -> np.ndarray:
@@ -57,27 +57,37 @@ def symbols_of(hashes: np.ndarray, valid: np.ndarray) -> np.ndarray:
     return out
 
 
+def runs(symbols: np.ndarray) -> np.ndarray:
+    """How many symbols, up to DEPTH, follow each other from each position on before one is 0."""
+    out = (symbols > 0).astype(np.uint8)
+    some = out.copy()
+    for _ in range(DEPTH - 1):
+        out[:-BLOCK] = some[:-BLOCK] * (1 + out[BLOCK:])
+    return np.minimum(out, DEPTH)
+
+
+def needed(run: np.ndarray) -> np.ndarray:
+    """Marks the suffixes that a string of DEPTH symbols goes through, its end included; no other can be in a repeat."""
+    whole = run >= DEPTH
+    out = whole.copy()
+    for step in range(BLOCK, BLOCK * DEPTH + 1, BLOCK):
+        out[step:] |= whole[:-step] if step < len(whole) else False
+    return out
+
+
 class Shard:
     """Suffixes of some contexts, in the order of their first DEPTH symbols; those without a symbol come first."""
 
-    def __init__(self, symbols: np.ndarray, suffixes: np.ndarray) -> None:
-        """symbols: of every position, as symbols_of() has them; a suffix is read up to its first 0."""
-        order, at, shift = np.arange(len(suffixes)), suffixes, (DEPTH - 1) * BLOCK
-        for step in range(DEPTH):  # from the last symbol to the first, stably
-            place = np.minimum(at[order] + shift - step * BLOCK, len(symbols) - 1)
-            order = order[stable_order(self._bounded(symbols, at[order], place))]
+    def __init__(self, symbols: np.ndarray, run: np.ndarray, suffixes: np.ndarray) -> None:
+        """symbols: of every position, as symbols_of() has them; a suffix is read up to its first 0 (run: its length)."""
+        order, own = np.arange(len(suffixes)), run[suffixes]
+        for step in range(DEPTH - 1, -1, -1):  # from the last symbol to the first, stably
+            at = np.where(own > step, suffixes + step * BLOCK, 0)
+            values = np.where(own > step, symbols[at], 0)
+            order = order[stable_order(values[order])]
         self.suffixes = suffixes[order]
         self.empty = int((symbols[self.suffixes] == 0).sum())
 
-    @staticmethod
-    def _bounded(symbols: np.ndarray, at: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """The symbol at `place`, 0 once any symbol between is 0 (the context ended)."""
-        out = symbols[place]
-        for back in range(BLOCK, BLOCK * DEPTH, BLOCK):
-            before = place - back
-            out = np.where((before >= at) & (symbols[np.maximum(before, 0)] == 0), 0, out)
-        return out
-
 
 def merge(symbols: np.ndarray, starts: np.ndarray, left: Shard, right: Shard) -> tuple[Shard, np.ndarray]:
     """(the shards as one, the interval number of each of its suffixes). starts: where each position's context begins."""
@@ -105,14 +115,6 @@ def merge(symbols: np.ndarray, starts: np.ndarray, left: Shard, right: Shard) ->
     return out, interval
 
 
-def _whole(symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Whether DEPTH symbols follow each other from `at` on."""
-    out = symbols[at] > 0
-    for step in range(1, DEPTH):
-        out[out] = symbols[np.minimum(at[out] + step * BLOCK, len(symbols) - 1)] > 0
-    return out
-
-
 def repeats(contexts: list[bytes], keys: np.ndarray, shards: np.ndarray) -> list[np.ndarray]:
     """For each context, the positions in it from which BLOCK * DEPTH bytes also start at a place of another key.
 
@@ -125,19 +127,23 @@ def repeats(contexts: list[bytes], keys: np.ndarray, shards: np.ndarray) -> list
     starts, of = np.repeat(first, sizes), np.repeat(np.arange(len(contexts)), sizes)
     left = np.repeat(first + sizes - 1, sizes) - np.arange(len(raw))
     symbols = symbols_of(rolling(raw, BLOCK), left >= BLOCK)
-    merged, interval, shard_of = None, None, shards[of]
-    for shard in np.unique(shards):
-        own = Shard(symbols, np.flatnonzero(shard_of == shard))
+    run = runs(symbols)
+    suffixes = np.flatnonzero(needed(run))
+    if not len(suffixes):
+        return [np.zeros(0, np.int64)] * len(contexts)
+    merged, interval, shard_of = None, None, shards[of[suffixes]]
+    for shard in np.unique(shard_of):
+        own = Shard(symbols, run, suffixes[shard_of == shard])
         if merged is None:
             merged, interval = own, None
         else:
             merged, interval = merge(symbols, starts, merged, own)
     if interval is None:  # one shard: an empty one beside it gives the intervals
-        merged, interval = merge(symbols, starts, merged, Shard(symbols, np.zeros(0, np.int64)))
-    places = (keys[of] + np.arange(len(raw)) - starts)[merged.suffixes]
+        merged, interval = merge(symbols, starts, merged, Shard(symbols, run, np.zeros(0, np.int64)))
+    places = keys[of[merged.suffixes]] + merged.suffixes - starts[merged.suffixes]
     bounds = np.flatnonzero(np.concatenate([[True], interval[1:] != interval[:-1]]))
     lengths = np.diff(np.append(bounds, len(interval)))
     several = np.repeat(np.minimum.reduceat(places, bounds) != np.maximum.reduceat(places, bounds), lengths)
-    hits = merged.suffixes[several & _whole(symbols, merged.suffixes)]
+    hits = merged.suffixes[several & (run[merged.suffixes] >= DEPTH)]
     hits = np.sort(hits)
     return [x - at for x, at in zip(np.split(hits, np.searchsorted(hits, first[1:])), first, strict=True)]

@@ -40,7 +40,7 @@ SPAN = bwt.BLOCK * bwt.DEPTH
 ANCHOR = 100
 WINDOW = SPAN - ANCHOR + 1
 #: Distinct surroundings of one anchor beyond which step 3 is taken, and bytes of surroundings that a merge holds.
-LARGE, MERGE_BYTES = 50_000, 1 << 20
+LARGE, MERGE_BYTES = 50_000, 1 << 19
 #: Starts whose common bytes must occur twice before their strings are merged.
 CELL = 20
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -272,6 +272,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     else:
         found = _merged(contexts)
     single = copies.filter("copies = 1").select("key")  # copies go whole, so their spans are not needed
+    found = written(found, "repeats")  # read twice below
     spans = whole.unionAll(found).join(single, "key", "left_semi")
     cut = written(_cut(docs, spans), "cut")
     counts = written(copies.select("digest", "copies"), "copies")
