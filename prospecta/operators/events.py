@@ -98,20 +98,22 @@ def snapshot(events: DataFrame) -> DataFrame:
     has_ticker = (t.sanitize_ticker(F.col("ticker")) != "Not Listed").cast("int")
     same = ((F.col("class_name") == F.col("series_name")) & (F.col("class_name") != "")).cast("int")
     clean = (~t.has_exchange_prefix(F.col("etf_name"))).cast("int")
+    falling = F.struct(F.col("_time"), (-F.unix_date(F.try_to_date(F.col("date"), "yyyy-MM-dd"))).alias("_day"), F.col("event_id"))
+    rows = rows.withColumn("_order", falling)
+    # An event counts once in its fund's history: the first of its filing.
+    again = F.row_number().over(Window.partitionBy("identity", blank, "accession_number").orderBy("_order")) > 1
+    rows = rows.withColumn("_once", ~blank & ((F.trim("accession_number") == "") | ~again))
+    effective = d.effective_for_history(F.col("designated_effective_date"), F.col("date"), F.col("effectiveness_days"))
+    rows = r.least_before(rows, ["identity"], F.unix_micros("_time"), F.col("_once") & (F.upper("form") == "485BPOS"), effective, "_effective")
     order = [F.desc("_time"), F.desc(priority), F.desc(has_ticker), F.desc(same), F.desc(clean), *store_order()]
     latest = r.latest_by(rows, ["identity"], order, always=blank)
     past = rows.filter(~blank)
-    falling = F.struct(F.col("_time"), (-F.unix_date(F.try_to_date(F.col("date"), "yyyy-MM-dd"))).alias("_day"), F.col("event_id"))
-    history = r.history_by(past.withColumn("_order", falling), ["identity"], ["_order"], "accession_number", "form", fixed.AMENDMENT_FORMS)
-    effective = d.effective_for_history(F.col("designated_effective_date"), F.col("date"), F.col("effectiveness_days"))
-    earlier = past.filter("form = '485BPOS'").select("identity", F.col("_time").alias("_then"), effective.alias("_effective"))
-    own = F.coalesce(F.col("history"), F.col("form"))
+    history = r.history_by(past, ["identity"], ["_order"], "accession_number", "form", fixed.AMENDMENT_FORMS)
+    form = F.upper("form")
     out = latest.join(history, "identity", "left").withColumns({
-        "filing_event_count": F.coalesce("n_events", F.lit(1)), "amendment_count": F.coalesce("n_amendments", F.col("form").isin(*fixed.AMENDMENT_FORMS).cast("long")), "filing_form_history": own})
-    out = out.withColumn("_day", d.filing_date(F.col("date")))
-    out = r.earlier_exists(out.withColumn("_row", F.struct("identity", "event_id")), earlier, ["identity"],
-                           (F.col("h._then") < F.col("l._time")) & (F.col("h._effective") <= F.col("l._day")), "prior_effective_485bpos")
-    return out.drop("n_events", "n_amendments", "history", "_time", "_name", "_day", "_row", "identity")
+        "filing_event_count": F.coalesce("n_events", F.lit(1)), "amendment_count": F.coalesce("n_amendments", form.isin(*fixed.AMENDMENT_FORMS).cast("long")),
+        "filing_form_history": F.coalesce("history", form), "prior_effective_485bpos": F.coalesce(F.col("_effective") <= d.filing_date(F.col("date")), F.lit(False))})
+    return out.drop("n_events", "n_amendments", "history", "_time", "_name", "_order", "_once", "_effective", "identity")
 
 
 def with_readiness(rows: DataFrame, today: dt.date, registry: DataFrame | None = None, search_start: dt.date | None = None) -> DataFrame:

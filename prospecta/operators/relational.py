@@ -8,7 +8,6 @@ partitioning.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,14 +27,15 @@ def latest_by(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Colum
 
 def history_by(df: DataFrame, keys: Sequence[str], order: Sequence[str], accession: str, form: str, amendments: Sequence[str], conditions: dict[str, Column] | None = None) -> DataFrame:
     """For each key: n_events (filings, by distinct non-blank accession; blank ones count each), n_amendments and history
-    (forms in order, joined by arrows). One row of a filing counts, its first in order. `conditions` adds bool_or's."""
+    (forms in order, in upper case, joined by arrows). One row of a filing counts, its first in order. `conditions` adds bool_or's."""
     blank = F.coalesce(F.trim(F.col(accession)), F.lit("")) == ""
     first = F.row_number().over(Window.partitionBy(*keys, accession).orderBy(*order))
     once = df.withColumn("_once", blank | (first == 1))
-    step = F.when(F.col("_once"), F.struct(*order, F.col(form).alias("_form")))
+    kind = F.upper(F.col(form))
+    step = F.when(F.col("_once"), F.struct(*order, kind.alias("_form")))
     forms = F.filter(F.transform(F.array_sort(F.collect_list(step)), lambda x: x["_form"]), lambda x: x != "")
     return once.groupBy(*keys).agg(
-        F.count_if(F.col("_once")).alias("n_events"), F.count_if(F.col("_once") & F.col(form).isin(*amendments)).alias("n_amendments"),
+        F.count_if(F.col("_once")).alias("n_events"), F.count_if(F.col("_once") & kind.isin(*amendments)).alias("n_amendments"),
         F.array_join(forms, " -> ").alias("history"), *[F.bool_or(c).alias(name) for name, c in (conditions or {}).items()])
 
 
@@ -58,15 +58,11 @@ def any_in_group(df: DataFrame, keys: Sequence[str | Column], condition: Column,
     return df.withColumn(name, F.coalesce(F.bool_or(condition).over(Window.partitionBy(*cols(keys))), F.lit(False)))
 
 
-def earlier_exists(latest: DataFrame, history: DataFrame, keys: Sequence[str], condition: Column, name: str) -> DataFrame:
-    """latest with `name`: whether a row of the same key in history meets a condition over both (columns `l.` and `h.`; keys of h begin with `_`)."""
-    l, h = latest.alias("l"), history.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in history.columns if c not in keys]).alias("h")
-
-    def same(rows: str, other: str) -> Column:
-        return reduce(lambda a, b: a & b, [F.col(f"{rows}{k}").eqNullSafe(F.col(f"{other}_{k}")) for k in keys])
-
-    hit = l.join(h, same("l.", "h.") & condition, "left_semi").select(*[F.col(f"l.{k}").alias(f"_{k}") for k in keys]).distinct().withColumn(name, F.lit(True))
-    return latest.join(hit, same("", ""), "left").select(*latest.columns, F.coalesce(F.col(name), F.lit(False)).alias(name))
+def least_before(df: DataFrame, keys: Sequence[str | Column], order: Column, eligible: Column, value: Column, name: str) -> DataFrame:
+    """df with `name`: the least value of the key's eligible rows that come strictly before the row by `order` (a number);
+    null if there is none. Rows are judged one by one, so rows of equal order or id do not share their answer."""
+    window = Window.partitionBy(*cols(keys)).orderBy(order).rangeBetween(Window.unboundedPreceding, -1)
+    return df.withColumn(name, F.min(F.when(eligible, value)).over(window))
 
 
 def merge_by_key(stored: DataFrame, live: DataFrame, key: str, ord_: str = "ord") -> DataFrame:
@@ -103,8 +99,8 @@ def zero_filled(df: DataFrame, value: Column, labels: Sequence[str]) -> DataFram
     """place, label and count for each label in order, zero where none occurs."""
     spark = df.sparkSession
     dim = spark.createDataFrame([(i, x) for i, x in enumerate(labels)], "place int, label string")
-    counts = df.groupBy(value.alias("label")).agg(F.count(F.lit(1)).alias("count"))
-    return F.broadcast(dim).join(counts, "label", "left").select("place", "label", F.coalesce("count", F.lit(0)).alias("count"))
+    counts = df.filter(value.isin(*labels)).groupBy(value.alias("label")).agg(F.count(F.lit(1)).alias("count"))
+    return dim.join(F.broadcast(counts), "label", "left").select("place", "label", F.coalesce("count", F.lit(0)).alias("count"))
 
 
 def unique_matches(entries: DataFrame, pairs: DataFrame, scope: str) -> DataFrame:

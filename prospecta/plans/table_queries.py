@@ -15,8 +15,11 @@ from prospecta import fixed
 from prospecta.functions import classify as c
 from prospecta.functions import dates as d
 from prospecta.functions import text as t
+from prospecta.operators import events as e
 from prospecta.operators import relational as r
 from prospecta.plans import snapshot as s
+from prospecta.schema import as_events
+from prospecta.sources import parse
 
 TODAY = dt.date(1998, 3, 1)
 START, END = "1995-01-01", "1996-06-30"
@@ -70,10 +73,41 @@ def forward_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prior_effective(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a customer's latest order has an earlier amendment that was effective by then."""
     rows = filings(spark, sf_dir)
-    latest = r.latest_by(rows, ["o_custkey"], [F.desc("day"), F.asc("o_orderkey")]).select("o_custkey", "o_orderkey", "day")
     effective = d.effective_for_history(F.lit(""), F.col("day"), F.col("days"))
-    past = rows.filter("form = '485BPOS'").select("o_custkey", F.col("day").alias("then"), effective.alias("effective"))
-    return r.earlier_exists(latest, past, ["o_custkey"], (F.col("h.then") < F.col("l.day")) & (F.col("h.effective") <= F.col("l.day").cast("timestamp")), "prior")
+    rows = r.least_before(rows, ["o_custkey"], F.unix_date(F.col("day").cast("date")).cast("long"), F.col("form") == "485BPOS", effective, "least")
+    latest = r.latest_by(rows, ["o_custkey"], [F.desc("day"), F.asc("o_orderkey")])
+    return latest.select("o_custkey", "o_orderkey", "day", F.coalesce(F.col("least") <= F.col("day").cast("timestamp"), F.lit(False)).alias("prior"))
+
+
+def event_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The snapshot itself over orders as events: a customer is a fund, orders share accessions, some names are blank."""
+    key, fund = F.lpad(F.col("o_orderkey").cast("string"), 12, "0"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")
+    name = F.when(F.col("o_orderkey") % 11 == 0, "").otherwise("Example ETF")
+    rows = filings(spark, sf_dir).select(
+        F.concat(F.lit("e"), key).alias("event_id"), F.concat_ws("-", fund, (F.col("o_orderkey") % 4).cast("string")).alias("accession_number"), fund.alias("cik"),
+        F.lower("form").alias("form"), F.col("day").alias("date"), name.alias("etf_name"), F.lit("Example ETF").alias("class_name"), F.lit("Example ETF").alias("series_name"),
+        F.concat(F.lit("S"), fund).alias("series_id"), F.concat(F.lit("C"), fund).alias("class_id"), F.col("days").alias("effectiveness_days"), F.lit("Not Listed").alias("ticker"))
+    out = e.snapshot(as_events(rows))
+    return out.select("event_id", "filing_event_count", "amendment_count", "filing_form_history", "prior_effective_485bpos")
+
+
+def elections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Effectiveness elections of cover windows made of orders."""
+    mark = F.when(F.col("o_orderkey") % 3 == 0, "[ ]").otherwise("[X]")
+    option = F.when(F.col("o_orderstatus") == "F", "60 days after filing").when(F.col("o_orderstatus") == "O", "75 days after filing").otherwise(
+        F.concat(F.lit("on "), F.date_format(F.col("day").cast("date"), "M/d/yyyy"), F.lit(" pursuant to paragraph (b)")))
+    rows = orders(spark, sf_dir).withColumn("window", F.concat(F.lit("<tr><td>"), mark, F.lit("</td><td>"), option, F.lit("</td></tr>")))
+    return rows.select("o_orderkey", parse.effectiveness_of("window").alias("e")).select("o_orderkey", F.col("e.basis").alias("basis"), F.coalesce("e.days", F.lit(-1)).alias("days"), F.col("e.designated").alias("designated"))
+
+
+def table_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of filing indexes made of customers."""
+    key = F.lpad(F.col("c_custkey").cast("string"), 9, "0")
+    ticker = F.upper(F.substring("c_mktsegment", 1, 4))
+    page = F.concat(F.lit('<table><tr><td class="seriesName">S'), key, F.lit('</td><td class="seriesCell">'), F.col("c_name"), F.lit(' Trust</td></tr><tr class="contractRow"><td>C'), key,
+                    F.lit("</td><td></td><td>Class A</td><td>"), ticker, F.lit('</td></tr><tr class="contractRow"><td>none</td><td></td><td></td><td>X</td></tr></table>'))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.explode(parse.series_entries_of(page)).alias("e"))
+    return rows.select("c_custkey", "e.class_name", "e.ticker", "e.series_id", "e.series_name", "e.class_id")
 
 
 def alias_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,7 +224,7 @@ def pair_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    range_scan, latest_snapshot, form_history, forward_fill, prior_effective, alias_bridge, sibling_flag, keyed_merge, unresolved, registry_age, readiness_states,
+    range_scan, latest_snapshot, form_history, forward_fill, prior_effective, event_snapshot, elections, table_entries, alias_bridge, sibling_flag, keyed_merge, unresolved, registry_age, readiness_states,
     vehicle_case, theme_histogram, top_filers, brief, hidden_states, ledger_skip, name_normalize, filer_groups, cards, page_links, cover_window, pair_match)}
 
 STATES = f"""(SELECT o_orderkey, form, CASE form WHEN 'N-1A' THEN 'Initial filing' WHEN '485APOS' THEN 'Rule 485(a) amendment' ELSE 'Rule 485(b) amendment' END AS stage,
@@ -234,6 +268,18 @@ ORACLES = {
       OVER (PARTITION BY o_custkey ORDER BY day DESC, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END, '') AS ticker FROM {ORDERS}""",
     "prior_effective": f"""WITH o AS (SELECT * FROM {ORDERS}), l AS (SELECT o_custkey, o_orderkey, day FROM o QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY day DESC, o_orderkey) = 1)
       SELECT *, EXISTS (SELECT 1 FROM o h WHERE h.o_custkey = l.o_custkey AND h.form = '485BPOS' AND h.day < l.day AND CAST(h.day AS DATE) + h.days <= CAST(l.day AS DATE)) AS prior FROM l""",
+    "event_snapshot": f"""WITH o AS (SELECT *, o_orderkey % 11 = 0 AS blank, 'e' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS id, o_orderkey % 4 AS acc FROM {ORDERS}),
+      h AS (SELECT * FROM o WHERE NOT blank QUALIFY row_number() OVER (PARTITION BY o_custkey, acc ORDER BY day, id) = 1),
+      g AS (SELECT o_custkey, count(*) AS n, count(*) FILTER (WHERE form IN ('485APOS', '485BPOS')) AS m, string_agg(form, ' -> ' ORDER BY day, id) AS forms FROM h GROUP BY o_custkey),
+      l AS (SELECT * FROM o WHERE blank UNION ALL (SELECT * FROM o WHERE NOT blank QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY day DESC, id) = 1))
+      SELECT id AS event_id, coalesce(n, 1) AS filing_event_count, coalesce(m, CAST(form IN ('485APOS', '485BPOS') AS BIGINT)) AS amendment_count, coalesce(forms, form) AS filing_form_history,
+        EXISTS (SELECT 1 FROM h WHERE h.o_custkey = l.o_custkey AND h.form = '485BPOS' AND h.day < l.day AND CAST(h.day AS DATE) + h.days <= CAST(l.day AS DATE)) AS prior_effective_485bpos
+      FROM l LEFT JOIN g USING (o_custkey)""",
+    "elections": """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '' WHEN o_orderstatus = 'F' THEN 'rule_485_a1_60_days' WHEN o_orderstatus = 'O' THEN 'rule_485_a2_75_days' ELSE 'rule_485_b_designated_date' END AS basis,
+      CASE WHEN o_orderkey % 3 = 0 OR o_orderstatus NOT IN ('F', 'O') THEN -1 WHEN o_orderstatus = 'F' THEN 60 ELSE 75 END AS days,
+      CASE WHEN o_orderkey % 3 > 0 AND o_orderstatus NOT IN ('F', 'O') THEN strftime(CAST(o_orderdate AS DATE), '%-m/%-d/%Y') ELSE '' END AS designated FROM orders""",
+    "table_entries": """SELECT c_custkey, 'Class A' AS class_name, CASE WHEN regexp_full_match(t, '[A-Z]{2,5}') THEN t ELSE '' END AS ticker, 'S' || k AS series_id, c_name || ' Trust' AS series_name, 'C' || k AS class_id
+      FROM (SELECT *, upper(c_mktsegment[1:4]) AS t, lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS k FROM customer)""",
     "alias_bridge": "SELECT c_mktsegment, right(c_name, 3) AS alias, min(c_nationkey) AS c_nationkey FROM customer GROUP BY 1, 2 HAVING count(DISTINCT c_nationkey) = 1",
     "sibling_flag": "SELECT o_orderkey, bool_or(o_orderstatus = 'F') OVER (PARTITION BY o_custkey) AND o_orderstatus = 'O' AS flag FROM orders",
     "keyed_merge": f"""SELECT o_orderkey, day, CASE WHEN day >= '1997-06-27' THEN 'live' ELSE 'stored' END AS source, CAST(CASE WHEN day > '1997-06-30' THEN 1 ELSE 0 END AS INTEGER) AS place FROM {ORDERS}""",

@@ -65,6 +65,19 @@ def test_prior_effectiveness(spark, values):
     assert [x.prior_effective_485bpos for x in rows] == [True]
 
 
+def test_prior_effectiveness_is_judged_by_row(spark):
+    """Blank-name rows of one fund before and after an effective amendment do not share its answer."""
+    blank = dict(etf_name="", **IDS)
+    rows = one(spark, event(1, date="2026-01-01", **blank), event(2, form="485bpos", date="2026-03-01", effectiveness_days=0, **IDS), event(3, date="2026-06-01", **blank))
+    assert {x.date: x.prior_effective_485bpos for x in rows} == {"2026-01-01": False, "2026-03-01": False, "2026-06-01": True}
+    assert {x.filing_form_history for x in rows} == {"485BPOS"} and {x.amendment_count for x in rows} == {1}
+
+
+def test_a_filing_counts_once_for_prior_effectiveness(spark):
+    rows = one(spark, event(1, form="485BPOS", date="2026-03-01", **IDS), event(1, event_id="later", form="485BPOS", date="2026-03-02", effectiveness_days=0, **IDS), event(3, date="2026-06-01", **IDS))
+    assert [(x.filing_event_count, x.prior_effective_485bpos) for x in rows] == [(2, False)]
+
+
 def test_snapshot_does_not_depend_on_input_order(spark):
     rows = [event(i, date=f"2026-03-0{i % 3 + 1}", form=fixed.FORMS[i % 4], **IDS) for i in range(8)]
     a = e.snapshot(frame(spark, *rows)).collect()
