@@ -456,3 +456,19 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     got = {x.doc_id: (x.n_tokens, x.ids, x.ids_sha256, x.decoded_sha256) for x in rows}
     assert len(got) == len(rows) and got == brute_pipeline(made, items)
     assert {120, 122, 130, 132, 140, *range(100, 112)} & set(got) >= {120, 122, 130, 132, 140, 100} and not {121, 123, 133, 141} & set(got)
+
+
+def test_jaccard_of_repeated_and_null_ids(spark):
+    """Rows of one doc_id are documents of their own; rows without doc_id link with nothing."""
+    one, two = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(5, one), (3, one), (7, two), (7, one), (9, two), (None, one), (None, None), (11, "")]
+    got = collections.Counter(tuple(x) for x in jaccard_components(table(spark, rows), 4, 85).collect())
+    assert got == collections.Counter([(5, 57, 3), (3, 57, 3), (7, 57, 3), (7, 57, 7), (9, 57, 7), (None, 57, None), (None, 0, None), (11, 0, 11)])
+
+
+def test_words_outside_benchmark_passages(spark):
+    passage = " ".join(f"p{i}" for i in range(12))
+    rows = [(1, f"Before it, {passage} after it"), (2, "clean words"), (3, passage), (4, None)]
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    left = {x.doc_id: x.text for x in decontaminate.without_spans(table(spark, rows), bench, 10).collect()}
+    assert left == {1: "before it after it", 3: ""}
