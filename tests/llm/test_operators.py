@@ -472,3 +472,10 @@ def test_words_outside_benchmark_passages(spark):
     bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
     left = {x.doc_id: x.text for x in decontaminate.without_spans(table(spark, rows), bench, 10).collect()}
     assert left == {1: "before it after it", 3: ""}
+
+
+@pytest.mark.parametrize("n", [127, 128, 129, 20_000])
+def test_secrets_of_a_text_with_very_many(spark, n):
+    text = "".join(f"é token={i:06d}x " for i in range(n))
+    found = ALL["secrets"](table(spark, [(1, text)])).first()
+    assert [(x.kind, x.start, x.end) for x in found.base] == [("assign", m.start(), m.end()) for m in re.finditer(r"token=\w+", text)]
