@@ -28,6 +28,7 @@ one task; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 from prospecta.llm.common import docs_only, mixed, slices, strings, words_of, written
 from prospecta.llm.components import components, roots
-from prospecta.llm.marks import marked
+from prospecta.llm.marks import marked, marks, maybe
 
 #: Buckets of the shingle counts, and counts in one row of a partial sketch.
 SKETCH_BITS, SKETCH_ROW = 20, 1 << 14
@@ -152,13 +153,20 @@ def prefix(own: np.ndarray, counts: np.ndarray, load: float, percent: int) -> tu
     return own[order[:size - least + best]], best
 
 
-def _prefixes(docs: DataFrame, counts: np.ndarray, k: int, percent: int) -> DataFrame:
+def _prefixes(docs: DataFrame, counts: np.ndarray, k: int, percent: int, copies: DataFrame, classes: DataFrame) -> DataFrame:
+    """doc_id, n, matches and entries of the first document of each class. Documents outside the bit table of copies are
+    first for sure, and nothing of them is moved; the others are asked for among the classes."""
     spark = docs.sparkSession
-    shared, load = spark.sparkContext.broadcast(counts.astype(np.uint32)), float(counts.mean())
+    shared, load, table = spark.sparkContext.broadcast(counts.astype(np.uint32)), float(counts.mean()), marks(copies)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def some(batches: Iterator[pa.RecordBatch], unsure: bool) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch, own = _with_id(batch)
+            yield batch.filter(pa.array(maybe(table, own) == unsure))
+
+    def run(batches: Iterator[pa.RecordBatch], unsure: bool) -> Iterator[pa.RecordBatch]:
         seen = shared.value.astype(np.int64)
-        for batch in slices(batches):
+        for batch in slices(some(batches, unsure)):
             sets = shingle_sets(batch.column("text"), k)
             found = [prefix(x, seen, load, percent) if len(x) else (x, 1) for x in sets]
             offsets = pa.array(np.cumsum([0, *(len(x) for x, _ in found)]), pa.int32())
@@ -167,7 +175,8 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, k: int, percent: int) -> Data
                 [batch.column("doc_id"), pa.array(list(map(len, sets)), pa.int32()), pa.array([m for _, m in found], pa.int32()), pa.ListArray.from_arrays(offsets, flat)],
                 names=["doc_id", "n", "matches", "entries"])
 
-    return docs.mapInArrow(run, "doc_id long, n int, matches int, entries array<long>")
+    sure, unsure = (docs.mapInArrow(partial(run, unsure=x), "doc_id long, n int, matches int, entries array<long>") for x in (False, True))
+    return sure.unionAll(unsure.join(classes.select(F.col("first").alias("doc_id")), "doc_id", "left_semi"))
 
 
 def _with_id(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
@@ -250,8 +259,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
 def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     all_sets, parts = _classes(docs, k)
     classes = written(all_sets.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first")), "classes")
-    entries = _prefixes(docs, _sketch(parts), k, percent)
-    first = entries.join(classes.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
+    copies = all_sets.filter("n > 0 and doc_id is not null").select("doc_id").join(classes.select(F.col("first").alias("doc_id")), "doc_id", "left_anti")
+    first = _prefixes(docs, _sketch(parts), k, percent, copies, classes)
     # Of a pair, the smaller set shares its entries within a shorter prefix: it has 2 t / (1 + t) of itself in common.
     short = F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent)) + F.least("matches", F.lit(SHORT_MATCHES))
     by_entry = first.select(F.posexplode("entries").alias("pos", "entry"), "doc_id", "n", "matches")

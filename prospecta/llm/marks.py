@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 from prospecta.llm.common import mixed
@@ -23,11 +24,8 @@ def _batch(rows: dict[int, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int32()), pa.array([x.tobytes() for x in rows.values()], pa.binary())], names=["block", "bits"])
 
 
-def marked(docs: DataFrame, keys: DataFrame, keyed: Callable[[pa.RecordBatch], tuple[pa.RecordBatch, np.ndarray]]) -> DataFrame:
-    """The rows of docs whose key may be in `keys` (one long column), as batches that keyed() gives with their keys: its
-    key column (named as in `keys`) and text."""
-    name = keys.columns[0]
-
+def marks(keys: DataFrame) -> Broadcast:
+    """The bit table of `keys` (one long column), for every task."""
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << MARK_BITS, bool)
         for batch in batches:
@@ -45,13 +43,23 @@ def marked(docs: DataFrame, keys: DataFrame, keyed: Callable[[pa.RecordBatch], t
     packed = np.zeros((ROWS, (1 << MARK_BITS) // (8 * ROWS)), np.uint8)
     for row in keys.mapInArrow(mark, "block int, bits binary").repartition("block").mapInArrow(merge, "block int, bits binary").collect():
         packed[row.block] |= np.frombuffer(row.bits, np.uint8)  # ROWS rows, as long as the table
-    table = docs.sparkSession.sparkContext.broadcast(packed.reshape(-1))
+    return keys.sparkSession.sparkContext.broadcast(packed.reshape(-1))
+
+
+def maybe(table: Broadcast, keys: np.ndarray) -> np.ndarray:
+    """Whether each key may be in the table; one that is not is surely not."""
+    at = _slots(keys)
+    return (table.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
+def marked(docs: DataFrame, keys: DataFrame, keyed: Callable[[pa.RecordBatch], tuple[pa.RecordBatch, np.ndarray]]) -> DataFrame:
+    """The rows of docs whose key may be in `keys` (one long column), as batches that keyed() gives with their keys: its
+    key column (named as in `keys`) and text."""
+    table = marks(keys)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = table.value
         for batch in batches:
             batch, own = keyed(batch)
-            at = _slots(own)
-            yield batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
+            yield batch.filter(pa.array(maybe(table, own)))
 
-    return docs.mapInArrow(pick, f"{name} long, text string")
+    return docs.mapInArrow(pick, f"{keys.columns[0]} long, text string")
