@@ -4,9 +4,9 @@ The alignment is relational. Tokens of both vocabularies are posexploded, window
 the two sides meet by text and end (one grouping by text and end is that equi-join, of rows that already lie together), the
 running count of ends that both have numbers the groups, and tokens of a group are linked where their bytes overlap.
 
-It is done once for each distinct chunk of a block of documents: a chunk is what lies between single spaces, where
-both vocabularies always cut, with the space before it. A document is then a list of chunk codes; its groups are those of its chunks in
-order, its links their links. Tasks make blocks of at most BLOCK_BYTES of text, so a block's codes, chunks and tokens stay together by its number, are
+It is done once for each distinct chunk of a block of documents: a chunk is what lies between places where both
+vocabularies always cut (single spaces, which go with what follows, and line ends and a full stop or comma after a letter). A document is then a list of
+chunk codes; its groups are those of its chunks in order, its links their links. Tasks make blocks of at most BLOCK_BYTES of text, so a block's codes, chunks and tokens stay together by its number, are
 bounded, and no text is moved. Documents that hold a link are counted block by block, then over the corpus; the counts go
 back to the blocks. Nothing is gathered by id, pair or document, and one grouping key is never more than a block.
 
@@ -37,11 +37,17 @@ from prospecta.llm.common import docs_only, slices, strings, written
 from prospecta.llm.merges import byte_letters
 
 BLOCK_BYTES = 32 << 20
+#: Tasks that blocks are dealt to at most; beyond, a task has several, and sorts spill.
+MOST_PARTS = 20_000
 #: Characters that are no white space by any of the vocabularies; a space between two of them is a cut.
 SOLID = r"[!-~\p{L}\p{N}]"
 CUT = regex.compile(rf"(?<={SOLID}) (?={SOLID})")
-#: Texts with a space that is no cut; the others are split at every space.
-AWKWARD = r"\A | \z|[^!-~\p{L}\p{N}] | [^!-~\p{L}\p{N}]"
+#: Begins a chunk that has no space before it.
+JOIN = "\x01"
+#: Texts with a space that is no cut, or with JOIN; the others are split at every space.
+AWKWARD = r"\A | \z|[^!-~\p{L}\p{N}] | [^!-~\p{L}\p{N}]|\x01"
+#: Finer cuts: before a full stop or comma that ends a word, and around a line end.
+FINER = ((r"(\p{L})([.,])([ \n])", rf"\1 {JOIN}\2\3"), (rf"({SOLID})\n({SOLID})", f"\\1 {JOIN}\n {JOIN}\\2"))
 #: A token in one number: side (0 A, 1 B), id, bytes.
 ID_BITS, LENGTH_BITS = 17, 8
 #: Words whose links are sorted at once.
@@ -74,18 +80,22 @@ class Tokenizers:
         if any("▁" in x.lstrip("▁") for x in pieces):
             raise ValueError("pieces go on after a space")
         self.bytes_b = [bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(pieces)]
+        # Finer cuts are safe if no piece goes across one.
+        self.finer = not any("\n" in x or regex.search(r"\p{L}[.,]", x) for x in pieces)
         if max(map(len, self.bytes_a + self.bytes_b)) >> LENGTH_BITS or max(len(self.bytes_a), len(self.bytes_b)) >> ID_BITS:
             raise ValueError("tokens are too long or too many to be packed")
         self.packed_a = [i << LENGTH_BITS | len(x) for i, x in enumerate(self.bytes_a)]
         self.packed_b = [1 << (ID_BITS + LENGTH_BITS) | i << LENGTH_BITS | len(x) for i, x in enumerate(self.bytes_b)]
 
     def tokens(self, chunks: list[str]) -> list[list[int] | None]:
-        """Packed tokens of each chunk with a space before it, A's then B's; None where either does not spell it."""
-        of_a = self.a.encode_batch_fast([" " + x for x in chunks], add_special_tokens=False)
-        of_b = self.b.encode(chunks, num_threads=1)
+        """Packed tokens of each chunk with what stands before it, A's then B's; None where either does not spell it."""
+        whole = [x[1:] if x.startswith(JOIN) else " " + x for x in chunks]
+        of_a = self.a.encode_batch_fast(whole, add_special_tokens=False)
+        # B puts a space before any text: after a line end, two tokens of their own, a chunk has none.
+        of_b = self.b.encode(["\n" + x[1:] if x.startswith(JOIN) else x for x in chunks], num_threads=1)
         out = []
-        for chunk, a, b in zip(chunks, of_a, of_b, strict=True):
-            want, a = b" " + chunk.encode(), a.ids
+        for chunk, text, a, b in zip(chunks, whole, of_a, of_b, strict=True):
+            want, a, b = text.encode(), a.ids, b[2:] if chunk.startswith(JOIN) else b
             right = b"".join(map(self.bytes_a.__getitem__, a)) == want == b"".join(map(self.bytes_b.__getitem__, b))
             out.append([*map(self.packed_a.__getitem__, a), *map(self.packed_b.__getitem__, b)] if right else None)
         return out
@@ -114,13 +124,16 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def chunked(texts: pa.Array) -> tuple[list[np.ndarray], pa.Array]:
+def chunked(texts: pa.Array, finer: bool = True) -> tuple[list[np.ndarray], pa.Array]:
     """(codes of each text's chunks, distinct chunks, the most usual first)."""
     texts = texts.cast(pa.large_string())
     awkward = np.asarray(pc.match_substring_regex(texts, AWKWARD)).astype(bool)
     full = np.asarray(pc.binary_length(texts)) > 0
     plain, rest = np.flatnonzero(full & ~awkward), np.flatnonzero(full & awkward)
-    split = pc.split_pattern(texts.take(pa.array(plain)), " ")
+    cut = texts.take(pa.array(plain))
+    for pattern, with_marks in FINER if finer else ():
+        cut = pc.replace_substring_regex(cut, pattern, with_marks)
+    split = pc.split_pattern(cut, " ")
     own = [CUT.split(x) for x in strings(texts.take(pa.array(rest)))]
     sizes = np.zeros(len(texts), np.int64)
     sizes[plain] = np.asarray(pc.list_value_length(split))
@@ -144,7 +157,7 @@ def blocks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizers, part = Tokenizers(path_a, path_b), TaskContext.get().partitionId()
         for number, table in enumerate(_gathered(batches)):
-            codes, chunks = chunked(table.column("text").combine_chunks())
+            codes, chunks = chunked(table.column("text").combine_chunks(), tokenizers.finer)
             block, n = part << 31 | number, table.num_rows
 
             def columns(n: int, **own: pa.Array) -> pa.RecordBatch:
@@ -163,24 +176,27 @@ def aligned(tokens: DataFrame) -> DataFrame:
     """block, code, n_a, n_b, n_groups, groups, links (array of A id * 2^32 + B id) from block, code, tokens, wherever
     rows of a block lie together."""
     text = ["code", "block"]  # code first: sorting is by it
+    token = F.col("token")
     each = tokens.select(*text, F.posexplode("tokens").alias("pos", "token"))
-    side, length = F.shiftright("token", ID_BITS + LENGTH_BITS), F.col("token").bitwiseAND((1 << LENGTH_BITS) - 1)
-    number = F.shiftright("token", LENGTH_BITS).bitwiseAND((1 << ID_BITS) - 1)
-    each = each.select(*text, "pos", side.alias("side"), number.alias("id"), length.alias("length"))
     so_far = Window.partitionBy(*text, "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    each = each.select(*text, "side", "id", "length", F.sum("length").over(so_far).cast("int").alias("end"))
-
-    def of(wanted: int) -> Column:
-        return F.max(F.when(F.col("side") == wanted, F.struct("end", "length", "id")))
-
-    met = each.groupBy(*text, "end").agg(of(0).alias("a"), of(1).alias("b"))
+    each = each.withColumn("side", F.shiftright(token, ID_BITS + LENGTH_BITS)).select(
+        *text, "side", "token", F.sum(token.bitwiseAND((1 << LENGTH_BITS) - 1)).over(so_far).cast("int").alias("end"))
+    # Tokens of a side end at different places, so a place has at most one of each.
+    met = each.groupBy(*text, "end").agg(*(F.max(F.when(F.col("side") == i, token)).alias(x) for i, x in enumerate("ab")))
     earlier = Window.partitionBy(*text).orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
     cut = F.col("a").isNotNull() & F.col("b").isNotNull()
-    numbered = met.select(*text, "a", "b", F.coalesce(F.sum(cut.cast("int")).over(earlier), F.lit(0)).alias("group"))
-    groups = numbered.groupBy(*text, "group").agg(F.array_sort(F.collect_list("a")).alias("a"), F.array_sort(F.collect_list("b")).alias("b"))
+    numbered = met.select(*text, "end", "a", "b", F.coalesce(F.sum(cut.cast("int")).over(earlier), F.lit(0)).cast("int").alias("group"))
+
+    def number(token: Column) -> Column:
+        return F.shiftright(token, LENGTH_BITS).bitwiseAND((1 << ID_BITS) - 1)
+
+    def side(name: str) -> Column:
+        begin = F.col("end") - F.col(name).bitwiseAND((1 << LENGTH_BITS) - 1)
+        return F.array_sort(F.collect_list(F.when(F.col(name).isNotNull(), F.struct("end", begin.alias("begin"), number(F.col(name)).alias("id"))))).alias(name)
+
+    groups = numbered.groupBy(*text, "group").agg(side("a"), side("b"))
     links = F.flatten(F.transform("a", lambda x: F.transform(
-        F.filter("b", lambda y: (y.end - y.length < x.end) & (x.end - x.length < y.end)),
-        lambda y: F.shiftleft(x.id.cast("long"), 32) + y.id)))
+        F.filter("b", lambda y: (y.begin < x.end) & (x.begin < y.end)), lambda y: F.shiftleft(x.id.cast("long"), 32) + y.id)))
 
     def ids(tokens: str) -> Column:
         return F.array_join(F.transform(tokens, lambda x: x.id.cast("string")), ",")
@@ -270,8 +286,10 @@ def _weighed(docs: pa.Table, pairs: pa.Table) -> pa.Table:
 def align(docs: DataFrame, path_a: str, path_b: str) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every row; a, b, count, best of every id pair)."""
     table = written(blocks(docs, path_a, path_b), "blocks")
-    chunks = aligned(table.filter("tokens is not null").select("block", "code", "tokens").repartition("block"))
-    documents = table.filter("codes is not null").select("block", "ord", "doc_id", "codes").repartition("block")
+    # About a block to a task, so that its sorts stay in memory.
+    parts = min(MOST_PARTS, 2 * max(1, table.filter("ord = 0").count()))
+    chunks = aligned(table.filter("tokens is not null").select("block", "code", "tokens").repartition(parts, "block"))
+    documents = table.filter("codes is not null").select("block", "ord", "doc_id", "codes").repartition(parts, "block")
     pieces = written(documents.groupBy("block").cogroup(chunks.groupBy("block")).applyInArrow(_composed, PIECE_ROWS), "pieces")
     pairs = pieces.filter("pair is not null").select("block", "pair", "a", "b", "n")
     counts = written(pairs.groupBy("a", "b").agg(F.sum("n").alias("count")), "counts")
