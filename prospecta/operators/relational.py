@@ -103,20 +103,21 @@ def zero_filled(df: DataFrame, value: Column, labels: Sequence[str]) -> DataFram
     return dim.join(F.broadcast(counts), "label", "left").select("place", "label", F.coalesce("count", F.lit(0)).alias("count"))
 
 
-def unique_matches(entries: DataFrame, pairs: DataFrame, scope: str) -> DataFrame:
-    """entries with `proposed`: a ticker by name from the pairs of the same scope (a filing).
+def unique_matches(entries: DataFrame, pairs: DataFrame, scope: str | Sequence[str]) -> DataFrame:
+    """entries with `proposed`: a ticker by name from the pairs of the same scope (a filing: one or more columns).
 
     entries: scope, ord, name, ticker; pairs: scope, ord, name, ticker (names normalized). Of pairs with one name the
     last ticker counts, at the first place. An equal name goes first, else the first pair whose name holds the entry's
     or is held by it. A ticker proposed twice in a scope, or in its table already, is not taken.
     """
-    by_name = pairs.filter("name <> ''").groupBy(scope, "name").agg(F.min("ord").alias("place"), F.max_by("ticker", "ord").alias("pair_ticker"))
-    open_ = entries.filter("ticker = '' and name <> ''").select(scope, "ord", "name")
+    scope = [scope] if isinstance(scope, str) else [*scope]
+    by_name = pairs.filter("name <> ''").groupBy(*scope, "name").agg(F.min("ord").alias("place"), F.max_by("ticker", "ord").alias("pair_ticker"))
+    open_ = entries.filter("ticker = '' and name <> ''").select(*scope, "ord", "name")
     p = by_name.withColumnRenamed("name", "pair_name")
     near = F.col("name") == F.col("pair_name")
     held = F.col("pair_name").contains(F.col("name")) | F.col("name").contains(F.col("pair_name"))
     met = open_.join(p, scope).filter(near | held)
-    first = met.groupBy(scope, "ord").agg(F.min_by("pair_ticker", F.struct(~near, F.col("place"))).alias("proposed"))
-    once = first.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(scope, "proposed"))).filter("_n = 1").drop("_n")
-    taken = entries.filter("ticker <> ''").select(scope, F.col("ticker").alias("proposed")).distinct()
-    return entries.join(once.join(taken, [scope, "proposed"], "left_anti"), [scope, "ord"], "left")
+    first = met.groupBy(*scope, "ord").agg(F.min_by("pair_ticker", F.struct(~near, F.col("place"))).alias("proposed"))
+    once = first.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*scope, "proposed"))).filter("_n = 1").drop("_n")
+    taken = entries.filter("ticker <> ''").select(*scope, F.col("ticker").alias("proposed")).distinct()
+    return entries.join(once.join(taken, [*scope, "proposed"], "left_anti"), [*scope, "ord"], "left")

@@ -42,9 +42,17 @@ class Assembled:
     statuses: DataFrame
 
 
-def document_facts(documents: DataFrame) -> DataFrame:
-    """url, facts and whether there is text, for each document (url, text) that has an address."""
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once: a checkpoint in the cluster's shared folder, or where the session names none, kept by the executors."""
+    context = df.sparkSession.sparkContext
+    return df.checkpoint() if context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir") else df.persist()
+
+
+def document_facts(documents: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """url, facts and whether there is text, for each document (url, text) that has an address; if given, of wanted urls alone."""
     text = t.text(F.col("text"))
+    if wanted is not None:
+        documents = documents.join(wanted.select("url").distinct(), "url", "left_semi")
     chars = F.when(F.col("url").endswith(VIEWER_SUFFIX), VIEWER_CHARS).otherwise(fixed.IDENTITY_CHARS)
     known = documents.filter("url is not null").groupBy("url").agg(F.max("text").alias("text")) if _repeats(documents) else documents.filter("url is not null")
     return known.select("url", (F.trim(text) != "").alias("has_text"), facts_of(F.substring(text, F.lit(1), chars), cover_window(text)).alias("facts"))
@@ -67,8 +75,8 @@ def references(filings: DataFrame, documents: DataFrame, base: str) -> DataFrame
 
 def gathered(filings: DataFrame, documents: DataFrame, base: str) -> DataFrame:
     """Each filing with the facts of its documents by role (null where there is none)."""
-    facts = document_facts(documents)
-    met = references(filings, documents, base).join(facts, "url").withColumn("doc", F.struct("has_text", "facts"))
+    named = settled(references(filings, documents, base))
+    met = named.join(document_facts(documents, named), "url").withColumn("doc", F.struct("has_text", "facts"))
     by = met.groupBy("accession_number", "cik").agg(*[F.first(F.when(F.col("role") == role, F.col("doc")), ignorenulls=True).alias(role) for role in ROLES])
     return filings.join(by, ["accession_number", "cik"], "left")
 
@@ -138,9 +146,10 @@ def _told(asked: Column, facts: Column) -> Column:
 
 def _class_rows(filings: DataFrame, entries: DataFrame, pairs: DataFrame) -> DataFrame:
     """A row for each class: tickers proposed by pairs of its name, a sole class also takes the filing's ticker."""
-    named = entries.select("accession_number", "ord", t.normalize_name(F.col("etf_name")).alias("name"), "ticker")
-    proposed = r.unique_matches(named, pairs.withColumn("name", t.normalize_name(F.col("name"))), "accession_number").select("accession_number", "ord", "proposed")
-    rows = entries.join(proposed, ["accession_number", "ord"], "left").withColumn("ticker", F.when(F.col("ticker") == "", F.coalesce("proposed", F.lit(""))).otherwise(F.col("ticker")))
+    # A filing is an accession of a filer: co-registrants file under one number.
+    named = entries.select("accession_number", "cik", "ord", t.normalize_name(F.col("etf_name")).alias("name"), "ticker")
+    proposed = r.unique_matches(named, pairs.withColumn("name", t.normalize_name(F.col("name"))), ["accession_number", "cik"]).select("accession_number", "cik", "ord", "proposed")
+    rows = entries.join(proposed, ["accession_number", "cik", "ord"], "left").withColumn("ticker", F.when(F.col("ticker") == "", F.coalesce("proposed", F.lit(""))).otherwise(F.col("ticker")))
     rows = rows.join(filings.select("accession_number", "cik", "n_entries", "fund_ticker", "fund_name"), ["accession_number", "cik"])
     adopted = F.when((F.col("n_entries") == 1) & (F.col("ticker") == ""), F.col("fund_ticker")).otherwise(F.col("ticker"))
     mapped, found = F.col("ticker_source") == fixed.FROM_MAP, t.sanitize_ticker(F.col("own"))
@@ -154,9 +163,10 @@ def _class_rows(filings: DataFrame, entries: DataFrame, pairs: DataFrame) -> Dat
 
 def _confirmed_rows(entries: DataFrame, pairs: DataFrame, ticker_map: DataFrame) -> DataFrame:
     """Rows for pairs that the official map confirms, unless their identity is a class of the filing already."""
-    found = e.identities_by_ticker(pairs.withColumnRenamed("accession_number", "filing"), ticker_map).withColumnRenamed("filing", "accession_number")
-    own = entries.filter("series_id <> '' and class_id <> ''").select("accession_number", t.key_text(F.col("series_id")).alias("series_id"), t.key_text(F.col("class_id")).alias("class_id"))
-    ids = ["accession_number", "series_id", "class_id"]
+    found = e.identities_by_ticker(pairs.withColumn("filing", F.struct("accession_number", "cik")), ticker_map)
+    found = found.withColumns({"accession_number": F.col("filing.accession_number"), "cik": F.col("filing.cik")})
+    own = entries.filter("series_id <> '' and class_id <> ''").select("accession_number", "cik", t.key_text(F.col("series_id")).alias("series_id"), t.key_text(F.col("class_id")).alias("class_id"))
+    ids = ["accession_number", "cik", "series_id", "class_id"]
     new = found.join(own.distinct(), ids, "left_anti")
     return new.select(
         "accession_number", "cik", F.lit("confirmed").alias("kind"), "ticker", F.col("ticker").alias("ticker_at_filing"), F.lit(fixed.FROM_FILING).alias("ticker_source"), F.col("name").alias("etf_name"),
@@ -187,13 +197,13 @@ def assemble(filings: DataFrame, documents: DataFrame, base: str, ticker_map: Da
     own = filings.select(*FILING).dropDuplicates(["accession_number", "cik"])
     has_map = ticker_map is not None and not ticker_map.isEmpty()
     ticker_map = ticker_map if has_map else None
-    held = gathered(own, documents, base).checkpoint()  # documents are parsed once, whatever is asked of them
+    held = settled(gathered(own, documents, base))  # documents are parsed once, whatever is asked of them
     entries = index_entries(held, ticker_map)
-    known = resolved(held, entries, has_map).checkpoint()
+    known = settled(resolved(held, entries, has_map))
     pairs = known.select("accession_number", "cik", F.posexplode("pairs").alias("ord", "pair")).select("accession_number", "cik", "ord", "pair.*")
     rows = _class_rows(known, entries, pairs).unionByName(_named_rows(known))
     if ticker_map is not None:
-        rows = rows.unionByName(_confirmed_rows(entries, pairs.join(entries.select("accession_number").distinct(), "accession_number", "left_semi"), ticker_map))
+        rows = rows.unionByName(_confirmed_rows(entries, pairs.join(entries.select("accession_number", "cik").distinct(), ["accession_number", "cik"], "left_semi"), ticker_map))
     about = known.select(
         "accession_number", "cik", "form", "date", "accepted_at", "link", F.col("shown_filer").alias("filer"), "exchange_listed",
         F.bool_or(F.col("error").isNotNull()).over(Window.partitionBy("cik")).alias("failed"), F.coalesce("election.basis", F.lit("")).alias("effectiveness_basis"),

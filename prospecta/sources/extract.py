@@ -26,8 +26,14 @@ NO_NAME = "N/A"
 
 # The patterns that names, tickers, pairs, registrants and listings are read by, each list in its order.
 SHORT = r"[A-Za-z0-9&\-\.\s]{3,120}?(?:ETF|Fund)"
-LONG = r"[A-Z][A-Za-z0-9&\-\.\(\)/,\s]{3,180}?(?:ETF|Fund)"
-LONG_160, LONG_140, LONG_120 = (LONG.replace("180", n) for n in ("160", "140", "120"))
+
+
+def long_name(most: int) -> str:
+    """A name of a capital and at most so many characters before its last word."""
+    return rf"[A-Z][A-Za-z0-9&\-\.\(\)/,\s]{{3,{most}}}?(?:ETF|Fund)"
+
+
+LONG, LONG_160, LONG_140, LONG_120 = map(long_name, (180, 160, 140, 120))
 ANY = r"[A-Z][A-Za-z0-9&\-\.\(\)/,\s]{3,180}?"
 TICKER = r"(?P<ticker>[A-Z]{3,4})"
 STATUS = r"(?:new|existing|active|inactive)"
@@ -81,7 +87,7 @@ PAIR_LINES = (rf"{TICKER}\s+(?P<name>{LONG_140})", rf"(?P<name>{LONG_140})\s*\(\
 
 REGISTRANT_SPAN = r'<span class="companyName">(?P<name>.*?)\s*\(Filer\)'
 REGISTRANT_MARK, REGISTRANT_LINES = "Exact Name of Registrant as Specified in Charter", 5
-REGISTRANT_TEXT = rf"(?P<name>[A-Za-z0-9&,\.\-\s]+)\s*\({REGISTRANT_MARK}\)"
+REGISTRANT_CHARS, REGISTRANT_AFTER = r"[A-Za-z0-9&,\.\-\s]+", rf"\({REGISTRANT_MARK}\)"
 
 SHARES = r"(?:fund(?:['’]s)?\s+shares|shares\s+of\s+the\s+fund)"
 EXCHANGE = r"(?:NYSE(?:\s+Arca)?|Cboe(?:\s+BZX)?|Nasdaq|BZX|national securities exchange|[A-Z][A-Za-z&.\- ]{0,40}\s+Exchange)"
@@ -145,6 +151,14 @@ class Document:
     def plain(self) -> str:
         return clean(self.raw)
 
+    @cached_property
+    def folded(self) -> str:
+        return self.plain.casefold()
+
+    def may_match(self, literals: Sequence[str]) -> bool:
+        """Whether all words that a pattern needs are in the flattened text."""
+        return all(x in self.folded for x in literals)
+
     @cached_property
     def walked(self) -> Lines:
         return Lines(self.raw)
@@ -154,6 +168,19 @@ class Document:
         return [clean(x) for x in "\n".join(self.walked.nodes).splitlines()]
 
 
+#: Words that a match of a pattern holds wherever the pattern has what stands beside them: without them a text need not be searched.
+LITERALS = (
+    (r"\|", "|"), (r"is\s+listed\s+on\b", "is listed on"), (r"Class/Contract", "class/contract"), (r'ticker\s+symbol\s+"', "ticker symbol"), (r"ProShares\s+", "proshares"),
+    (r"Principal U\.S\. Listing", "principal u.s. listing"), (r"\(\s*" + TICKER, "("),
+)
+
+
+def needed(pattern: str) -> tuple[str, ...]:
+    """The literals that every match of a pattern holds; what stands inside a look ahead does not count."""
+    outside = re.sub(r"\(\?=.*", "", pattern)
+    return tuple(literal for part, literal in LITERALS if part in outside)
+
+
 class Rule(NamedTuple):
     """How a value is read: `read` gives it, or nothing."""
 
@@ -161,8 +188,8 @@ class Rule(NamedTuple):
 
     @classmethod
     def plain(cls, pattern: str, group: str, flags: int = re.IGNORECASE) -> Rule:
-        compiled = re.compile(pattern, flags)
-        return cls(lambda d: m[group].strip() if (m := compiled.search(d.plain)) else "")
+        compiled, literals = re.compile(pattern, flags), needed(pattern)
+        return cls(lambda d: m[group].strip() if d.may_match(literals) and (m := compiled.search(d.plain)) else "")
 
     @classmethod
     def markup(cls, pattern: str, group: str) -> Rule:
@@ -182,7 +209,7 @@ def _listed_ticker(value: str) -> str:
 
 
 def _class_name(document: Document) -> str:
-    found = re.search(NAME_OF_CLASS, document.plain, re.IGNORECASE)
+    found = document.may_match(needed(NAME_OF_CLASS)) and re.search(NAME_OF_CLASS, document.plain, re.IGNORECASE)
     return name_and_ticker(found["name"])[0] if found else ""
 
 
@@ -235,7 +262,7 @@ def _cell_pairs(document: Document) -> Iterator[tuple[str, str]]:
 
 def _text_pairs(document: Document) -> Iterator[tuple[str, str]]:
     for pattern in PAIR_PATTERNS:
-        for found in re.finditer(pattern, document.plain, re.IGNORECASE):
+        for found in re.finditer(pattern, document.plain, re.IGNORECASE) if document.may_match(needed(pattern)) else ():
             yield re.sub(f"^{PAIR_HEADING}", "", found["name"], flags=re.IGNORECASE), found["ticker"]
     for line in document.lines:
         for pattern in PAIR_LINES:
@@ -264,9 +291,20 @@ def _above_mark(document: Document) -> str:
     return ""
 
 
+def _before_mark(document: Document) -> str:
+    """The run of name characters that ends at the first mark in brackets with one before it. The text is read backwards from each
+    mark to the one before: a name holds no bracket, so nothing is read twice."""
+    at = 0
+    for mark in re.finditer(REGISTRANT_AFTER, document.plain, re.IGNORECASE):
+        if run := re.match(REGISTRANT_CHARS, document.plain[at:mark.start()][::-1], re.IGNORECASE):
+            return run[0][::-1].strip()
+        at = mark.end()
+    return ""
+
+
 REGISTRANT_RULES = (
     Rule(lambda d: re.sub(r"\s*\(Filer\).*", "", clean(" ".join(x.strip() for x in d.walked.company)), flags=re.IGNORECASE)),
-    Rule.markup(REGISTRANT_SPAN, "name"), Rule(_above_mark), Rule.plain(REGISTRANT_TEXT, "name"),
+    Rule.markup(REGISTRANT_SPAN, "name"), Rule(_above_mark), Rule(_before_mark),
 )
 
 

@@ -63,6 +63,26 @@ def test_second_document_only_while_something_is_unknown(spark):
     assert set(run(spark, filing, [("a", links), part, second])[0]) == {"a:OMEGA ETF"}
 
 
+def test_co_registrants_of_one_accession(spark):
+    """Two filers of one filing have their own rows, with the tickers and confirmed pairs of each."""
+    index = HEAD + row("S000000001", "Alpha", "C000000001", "Alpha ETF", "")
+    filings = spark.createDataFrame([("a", cik, "485APOS", "2026-05-01", "", f"{BASE}/a", f"{BASE}/p", "x", 1) for cik in ("0000000077", "0000000088")], FILINGS)
+    documents = spark.createDataFrame([(f"{BASE}/a", index), (f"{BASE}/p", "<tr><td>Alpha ETF</td><td>ALPH</td></tr><tr><td>Gamma ETF</td><td>GAMA</td></tr>"), (f"{BASE}/other", "x" * 50)], "url string, text string")
+    maps = spark.createDataFrame([("88", "S000000003", "C000000003", "GAMA")], "cik string, series_id string, class_id string, symbol string")
+    for ticker_map, want in ((None, {"0000000077": 1, "0000000088": 1}), (maps, {"0000000077": 1, "0000000088": 2})):
+        got = assembly.assemble(filings, documents, BASE, ticker_map)
+        events = got.events.collect()
+        assert {x.cik: x.row_count for x in got.statuses.collect()} == want
+        assert sorted((x.cik, x.event_id, x.ticker) for x in events if x.ticker == "ALPH") == [(cik, "a:C000000001", "ALPH") for cik in want]
+        assert len(events) == sum(want.values())
+
+
+def test_only_referred_documents_are_parsed(spark):
+    filings = spark.createDataFrame([("a", "1", "N-1A", "2026-05-01", "", f"{BASE}/a", None, "x", 1)], FILINGS)
+    documents = spark.createDataFrame([(f"{BASE}/a", "x"), (f"{BASE}/b", "y")], "url string, text string")
+    assert [x.url for x in assembly.document_facts(documents, assembly.references(filings, documents, BASE)).collect()] == [f"{BASE}/a"]
+
+
 def test_guards(spark):
     rows = spark.createDataFrame([("class", "Alpha", "Alpha", ""), ("named", "Alpha", "Alpha", ""), ("named", "Alpha fund", "x", ""), ("class", "Class A", "Class A", ""), ("class", " n/a ", "x", ""), ("class", "", "x", "")], "kind string, etf_name string, class_name string, series_id string")
     assert [(x.kind, x.etf_name) for x in assembly.guarded(rows).collect()] == [("class", "Alpha"), ("named", "Alpha fund")]

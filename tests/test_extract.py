@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +92,31 @@ def test_facts_column(spark):
 def test_an_error_is_kept_by_document(monkeypatch):
     monkeypatch.setattr(extract, "fund_name", lambda d: 1 / 0)
     assert extract.facts("x", "x")[-1].startswith("ZeroDivisionError")
+
+
+@pytest.mark.parametrize("text, want", [
+    (f"Cover page Alpha & Beta Trust ({extract.REGISTRANT_MARK}) more", "COVER PAGE ALPHA & BETA TRUST"),
+    (f"x ({extract.REGISTRANT_MARK}) y) ({extract.REGISTRANT_MARK}) Gamma Trust({extract.REGISTRANT_MARK.lower()})", "X"),
+    (f")({extract.REGISTRANT_MARK})", ""),
+    ("no mark", ""),
+])
+def test_registrant_before_the_mark(text, want):
+    assert extract._before_mark(extract.Document(text)).upper() == want
+
+
+def test_long_unpunctuated_text_is_read_in_linear_time():
+    took = []
+    for n in (10_000, 80_000):
+        start = time.perf_counter()
+        extract.facts("word and other " * (n // 15), "")
+        took.append(time.perf_counter() - start)
+    assert took[1] < 30 * max(took[0], 0.05)
+
+
+def test_literals_are_in_every_match():
+    """What a pattern is said to need is in whatever it matches."""
+    samples = ["[ ABC ] | Alpha Core Fund", "ABC | Alpha Core Fund | NYSE |", "Alpha Core ETF is listed on", 'under the ticker symbol "ABC"', "Alpha Core ETF (ABC)", "Series S1 Alpha Core ETF Class/Contract C1 Alpha ETF ABC Mailing Address"]
+    for pattern in (*extract.NAME_PATTERNS, extract.NAME_OF_CLASS, extract.TICKER_BRACKETED, *extract.TICKER_LISTED, *extract.TICKER_LAST, *extract.PAIR_PATTERNS):
+        for text in samples:
+            if re.search(pattern, text, re.IGNORECASE):
+                assert all(x in text.casefold() for x in extract.needed(pattern))
