@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from prospecta.llm.common import docs_only, slices, strings, written
 from prospecta.llm.merges import byte_letters
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 #: Tasks that blocks are dealt to at most; beyond, a task has several, and sorts spill.
 MOST_PARTS = 20_000
 #: Characters that are no white space by any of the vocabularies; a space between two of them is a cut.
@@ -51,7 +51,7 @@ FINER = ((r"(\p{L})([.,])([ \n])", rf"\1 {JOIN}\2\3"), (rf"({SOLID})\n({SOLID})"
 #: A token in one number: side (0 A, 1 B), id, bytes.
 ID_BITS, LENGTH_BITS = 17, 8
 #: Words whose links are sorted at once.
-SLICE_WORDS = 1 << 19
+SLICE_WORDS = 1 << 18
 BLOCK_ROWS = "block long, ord int, doc_id long, codes binary, code int, tokens array<int>"
 PIECE_ROWS = ("block long, ord int, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, times binary, "
               "pair int, a int, b int, n long")
