@@ -54,6 +54,15 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     return spark.table(table)
 
 
+def numbered(docs: DataFrame, name: str = "row_number") -> tuple[DataFrame, str]:
+    """(docs with a number for each row, the number's column, which no column of docs is called). Written once, so that all
+    reads agree on it; rows of equal or null ids are told apart by it."""
+    taken = {x.lower() for x in docs.columns}
+    while name in taken:
+        name = f"_{name}"
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

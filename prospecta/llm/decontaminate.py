@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prospecta.llm.common import docs_only, lower_ascii
+from prospecta.llm.common import docs_only, lower_ascii, numbered
 
 #: Fixed value: what separates words, after A-Z are lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -126,9 +126,11 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """The rows of docs, all columns, whose doc_id has no hit."""
-    bad = report(docs, benchmark, n).filter("contaminated").select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    """The rows of docs, all columns, that have no hit. Each row is judged by its own text: one of equal or null doc_id with a
+    hit takes no other row with it."""
+    rows, number = numbered(docs)
+    bad = report(rows.select(F.col(number).alias("doc_id"), "text"), benchmark, n).filter("contaminated").select(F.col("doc_id").alias(number))
+    return rows.join(bad, number, "left_anti").select(*[F.col(f"`{x}`") for x in docs.columns])
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:

@@ -301,6 +301,18 @@ def test_decontamination(spark, docs, limit):
     assert clean.columns == docs.columns and not {0, 62, 77} & {x.doc_id for x in clean.collect()} and 2 in {x.doc_id for x in clean.collect()}
 
 
+def test_clean_rows_stay_beside_contaminated_ones_of_their_id(spark):
+    """Rows of null and of repeated ids are each judged by their own text."""
+    item = "one two three four five six seven eight nine ten"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(None, item), (None, "clean"), (None, None), (5, f"so {item} on"), (5, "clean too"), (5, "clean too"), (6, "x"), (7, "")]
+    docs = table(spark, rows).withColumn("row_number", F.lit("own")).withColumn("_row_number", F.lit(3))
+    clean = decontaminate.clean_documents(docs, bench)
+    assert clean.columns == docs.columns and {x.row_number for x in clean.collect()} == {"own"}
+    assert collections.Counter((x.doc_id, x.text) for x in clean.collect()) == collections.Counter(x for x in rows if x[1] is None or item not in x[1])
+    assert decontaminate.clean_documents(table(spark, []), bench).count() == 0
+
+
 def test_chat(spark):
     log = [(1, 2, "message", "m2", "assistant", "Hi"), (1, 3, "delta", "m2", None, " there"), (1, 1, "message", "m1", "user", "Hey"), (1, 4, "regenerate", "m2", "assistant", ""), (1, 5, "delta", "m2", None, "Hello <b>"),
            (1, 6, "edit", "m1", "user", "Hey #1"), (1, 7, "message", "m3", "user", "gone"), (1, 8, "delete", "m3", None, None), (2, 1, None, None, "user", None), (2, 1, None, None, "user", None), (None, 1, "message", None, "a: b", "\\l\\b</turn>\n### x: y")]
