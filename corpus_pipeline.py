@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prospecta.llm.bpe_codec import encode_decode
-from prospecta.llm.common import read, written
+from prospecta.llm.common import numbered, read, written
 from prospecta.llm.decontaminate import clean_documents
 from prospecta.llm.jaccard import jaccard_components
 from prospecta.llm.line_dedup import without_repeated_lines
@@ -34,12 +34,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates, of its least doc_id, by five-word shingles and a similarity of 0.8. Rows
     are numbered, so that rows of one doc_id are documents of their own; a row without doc_id is its own group."""
-    numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    known = numbered.filter("doc_id is not null")
-    groups = jaccard_components(known.select(F.col("__row").alias("doc_id"), "text"), k=5, percent=80).select(F.col("doc_id").alias("__row"), "component_id")
-    least = known.select("__row", "doc_id").join(groups, "__row").groupBy("component_id").agg(F.min(F.struct("doc_id", "__row")).alias("least"))
-    first = least.select(F.col("least.__row").alias("__row"))
-    return known.join(first, "__row", "left_semi").select(*docs.columns).unionAll(numbered.filter("doc_id is null").select(*docs.columns))
+    rows, row = numbered(docs)
+    known = rows.filter("doc_id is not null")
+    groups = jaccard_components(known.select(F.col(row).alias("doc_id"), "text"), k=5, percent=80).select(F.col("doc_id").alias(row), "component_id")
+    least = known.select(row, "doc_id").join(groups, row).groupBy("component_id").agg(F.min(F.struct("doc_id", row)).alias("least"))
+    first = least.select(F.col(f"least.{row}").alias(row))
+    return known.join(first, row, "left_semi").select(*docs.columns).unionAll(rows.filter("doc_id is null").select(*docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
