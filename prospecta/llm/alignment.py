@@ -21,7 +21,6 @@ is a block; an empty table gives an empty result; columns other than the id and
 from __future__ import annotations
 
 import hashlib
-import json
 import os
 from collections.abc import Iterator
 
@@ -33,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prospecta.llm.common import docs_only, slices, strings, written
+from prospecta.llm.common import docs_only, setting, slices, strings, written
 from prospecta.llm.merges import byte_letters
 
 BLOCK_BYTES = 8 << 20
@@ -50,6 +49,10 @@ AWKWARD = r"\A | \z|[^!-~\p{L}\p{N}] | [^!-~\p{L}\p{N}]|\x01"
 FINER = ((r"(\p{L})([.,])([ \n])", rf"\1 {JOIN}\2\3"), (rf"({SOLID})\n({SOLID})", f"\\1 {JOIN}\n {JOIN}\\2"))
 #: A token in one number: side (0 A, 1 B), id, bytes.
 ID_BITS, LENGTH_BITS = 17, 8
+#: Chunks that are encoded at once: the libraries' answers are many times their size.
+BATCH = 1 << 12
+#: Chunks that a task groups by hash before it sorts; a block has about as many.
+GROUPED = 1 << 18
 #: Words whose links are sorted at once.
 SLICE_WORDS = 1 << 18
 BLOCK_ROWS = "block long, ord int, doc_id long, codes binary, code int, tokens array<int>"
@@ -70,8 +73,7 @@ class Tokenizers:
         self.a.no_padding()
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        with open(path_a, encoding="utf-8") as file:
-            vocab = json.load(file)["model"]["vocab"]
+        vocab = self.a.get_vocab(with_added_tokens=False)
         byte = {letter: b for b, letter in enumerate(byte_letters())}
         self.bytes_a = [b""] * (max(vocab.values()) + 1)
         for entry, i in vocab.items():
@@ -165,8 +167,8 @@ def blocks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                 return pa.RecordBatch.from_arrays([own[x.name] if x.name in own else pa.nulls(n, x.type) for x in schema], schema=schema)
 
             yield columns(n, ord=pa.array(np.arange(n), pa.int32()), doc_id=table.column("doc_id").combine_chunks(), codes=pa.array([planes(x) for x in codes], pa.binary()))
-            for at in range(0, len(chunks), 1 << 15):
-                tokens = tokenizers.tokens(strings(chunks.slice(at, 1 << 15)))
+            for at in range(0, len(chunks), BATCH):
+                tokens = tokenizers.tokens(strings(chunks.slice(at, BATCH)))
                 yield columns(len(tokens), code=pa.array(np.arange(at, at + len(tokens)), pa.int32()), tokens=pa.array(tokens, pa.list_(pa.int32())))
 
     return docs_only(docs).mapInArrow(make, BLOCK_ROWS)
@@ -290,7 +292,8 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> tuple[DataFrame, DataFra
     parts = min(MOST_PARTS, 2 * max(1, table.filter("ord = 0").count()))
     chunks = aligned(table.filter("tokens is not null").select("block", "code", "tokens").repartition(parts, "block"))
     documents = table.filter("codes is not null").select("block", "ord", "doc_id", "codes").repartition(parts, "block")
-    pieces = written(documents.groupBy("block").cogroup(chunks.groupBy("block")).applyInArrow(_composed, PIECE_ROWS), "pieces")
+    with setting(docs.sparkSession, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", GROUPED):
+        pieces = written(documents.groupBy("block").cogroup(chunks.groupBy("block")).applyInArrow(_composed, PIECE_ROWS), "pieces")
     pairs = pieces.filter("pair is not null").select("block", "pair", "a", "b", "n")
     counts = written(pairs.groupBy("a", "b").agg(F.sum("n").alias("count")), "counts")
     stats = counts.join(counts.groupBy("a").agg(F.max("count").alias("most")), "a").select("a", "b", "count", (F.col("count") == F.col("most")).alias("best"))
