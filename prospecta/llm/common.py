@@ -6,7 +6,6 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -55,17 +54,6 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     return spark.table(table)
 
 
-@contextmanager
-def setting(spark: SparkSession, name: str, value: object) -> Iterator[None]:
-    """A session setting for what is written inside; the old one comes back."""
-    old = spark.conf.get(name, None)
-    spark.conf.set(name, str(value))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, old) if old is not None else spark.conf.unset(name)
-
-
 def numbered(docs: DataFrame, name: str = "row_number") -> tuple[DataFrame, str]:
     """(docs with a number for each row, the number's column, which no column of docs is called). Written once, so that all
     reads agree on it; rows of equal or null ids are told apart by it."""
