@@ -82,11 +82,12 @@ def with_identity(events: DataFrame) -> DataFrame:
 
 
 def finalize(events: DataFrame, start: dt.date, end: dt.date, ticker_map: DataFrame | None = None) -> DataFrame:
-    """Enrich, fill, normalize, then bound: rows after the end may still give tickers to rows within."""
+    """Enrich, fill, normalize, then bound: rows after the end may still give tickers to rows within. A bound with a time of
+    day leaves out the filings of a day that begins before it."""
     out = enrich_from_map(events, ticker_map) if ticker_map is not None else events
     out = normalize_vehicle_scope(fill_tickers_from_later(out))
     day = d.filing_date(F.col("date"))
-    return out.filter(day.between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")))
+    return out.filter(day.between(F.lit(str(start)).cast("timestamp"), F.lit(str(end)).cast("timestamp")))
 
 
 def snapshot(events: DataFrame) -> DataFrame:

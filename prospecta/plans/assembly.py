@@ -11,6 +11,7 @@ addresses count once; empty tables give empty results; further columns of filing
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -49,13 +50,18 @@ def settled(df: DataFrame) -> DataFrame:
 
 
 def document_facts(documents: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """url, facts and whether there is text, for each document (url, text) that has an address; if given, of wanted urls alone."""
+    """url, facts and whether there is text, for each document (url, text, perhaps error) that has an address; if given, of
+    wanted urls alone."""
     text = t.text(F.col("text"))
     if wanted is not None:
         documents = documents.join(wanted.select("url").distinct(), "url", "left_semi")
     chars = F.when(F.col("url").endswith(VIEWER_SUFFIX), VIEWER_CHARS).otherwise(fixed.IDENTITY_CHARS)
-    known = documents.filter("url is not null").groupBy("url").agg(F.max("text").alias("text")) if _repeats(documents) else documents.filter("url is not null")
-    return known.select("url", (F.trim(text) != "").alias("has_text"), facts_of(F.substring(text, F.lit(1), chars), cover_window(text)).alias("facts"))
+    others = [F.max(x).alias(x) for x in documents.columns if x == "error"]
+    known = documents.filter("url is not null").groupBy("url").agg(F.max("text").alias("text"), *others) if _repeats(documents) else documents.filter("url is not null")
+    facts = facts_of(F.substring(text, F.lit(1), chars), cover_window(text))
+    if "error" in documents.columns:  # what could not be read is an error of the document
+        facts = facts.withField("error", F.coalesce(F.nullif("error", F.lit("")), facts.error))
+    return known.select("url", (F.trim(text) != "").alias("has_text"), facts.alias("facts"))
 
 
 def _repeats(documents: DataFrame) -> bool:
@@ -73,12 +79,10 @@ def references(filings: DataFrame, documents: DataFrame, base: str) -> DataFrame
     return named.select("accession_number", "cik", F.inline(each)).filter("url is not null")
 
 
-def gathered(filings: DataFrame, documents: DataFrame, base: str) -> DataFrame:
-    """Each filing with the facts of its documents by role (null where there is none)."""
-    named = settled(references(filings, documents, base))
-    met = named.join(document_facts(documents, named), "url").withColumn("doc", F.struct("has_text", "facts"))
-    by = met.groupBy("accession_number", "cik").agg(*[F.first(F.when(F.col("role") == role, F.col("doc")), ignorenulls=True).alias(role) for role in ROLES])
-    return filings.join(by, ["accession_number", "cik"], "left")
+def by_role(named: DataFrame, facts: DataFrame, roles: Sequence[str] = ROLES) -> DataFrame:
+    """accession_number, cik and for each role the facts of the filing's document (null where there is none)."""
+    met = named.join(facts, "url").withColumn("doc", F.struct("has_text", "facts"))
+    return met.groupBy("accession_number", "cik").agg(*[F.first(F.when(F.col("role") == role, F.col("doc")), ignorenulls=True).alias(role) for role in roles])
 
 
 def _fact(role: str, name: str, when: Column | None = None) -> Column:
@@ -123,12 +127,12 @@ def resolved(filings: DataFrame, entries: DataFrame, has_map: bool) -> DataFrame
     more = F.filter(F.array(FIRST, SECOND), lambda d: d.isNotNull() & say & lacking)
     state = F.aggregate(more, F.struct(F.col("asked"), F.lit(False).alias("stop")), lambda s, d: F.when(s.stop, s).otherwise(_told(s.asked, d.facts))).asked
     out = out.withColumns({
-        "asked": state, "exchange_listed": F.col("loaded") & F.coalesce(F.col(f"{PRIMARY}.facts.exchange_listed"), F.lit(False)),
+        "asked": state, "lacking": say & lacking, "exchange_listed": F.col("loaded") & F.coalesce(F.col(f"{PRIMARY}.facts.exchange_listed"), F.lit(False)),
         "election": F.when(F.col("loaded"), F.col(f"{PRIMARY}.facts.election")).otherwise(F.col(f"{INDEX}.facts.election"))})
     named = F.broadcast(out.sparkSession.createDataFrame(fixed.FILERS, "cik string, configured string"))
     out = out.join(named, "cik", "left").withColumn("shown_filer", t.filer_label(F.col("cik"), F.coalesce("configured", F.lit("")), F.col("asked.filer")))
     return out.select(
-        "accession_number", "cik", "form", "date", "accepted_at", "link", "n_entries", "shown_filer", "exchange_listed", "election", "asked.pairs", "asked.error",
+        "accession_number", "cik", "form", "date", "accepted_at", "link", "n_entries", "shown_filer", "exchange_listed", "election", "asked.pairs", "asked.error", "lacking",
         F.col("asked.ticker").alias("fund_ticker"), F.col("asked.name").alias("fund_name"), _fact(INDEX, "fund_name").alias("index_name"), _fact(INDEX, "fund_ticker").alias("index_ticker"))
 
 
@@ -192,14 +196,22 @@ def guarded(rows: DataFrame) -> DataFrame:
     return rows.filter(reduce(lambda a, b: a & b, guards))
 
 
-def assemble(filings: DataFrame, documents: DataFrame, base: str, ticker_map: DataFrame | None = None) -> Assembled:
-    """Events of filings (FILING, one row each; `filer` is the submissions' name) from documents (url, text)."""
-    own = filings.select(*FILING).dropDuplicates(["accession_number", "cik"])
+def assemble(filings: DataFrame, documents: DataFrame, base: str, ticker_map: DataFrame | None = None, more: Callable[[DataFrame], DataFrame] | None = None) -> Assembled:
+    """Events of filings (FILING, one row each; `filer` is the submissions' name) from documents (url, text, perhaps error).
+    `more`, if given, reads the supporting documents (url) of filings that still lack something after the others."""
+    own, key = filings.select(*FILING).dropDuplicates(["accession_number", "cik"]), ["accession_number", "cik"]
     has_map = ticker_map is not None and not ticker_map.isEmpty()
     ticker_map = ticker_map if has_map else None
-    held = settled(gathered(own, documents, base))  # documents are parsed once, whatever is asked of them
+    named = settled(references(own, documents, base))
+    held = settled(own.join(by_role(named, document_facts(documents, named)), key, "left"))  # documents are parsed once, whatever is asked of them
     entries = index_entries(held, ticker_map)
     known = settled(resolved(held, entries, has_map))
+    if more is not None:
+        supporting = named.filter(F.col("role").isin(FIRST, SECOND)).join(known.filter("lacking").select(*key), key, "left_semi")
+        found = settled(more(supporting.select("url").distinct()))
+        held = settled(held.drop(FIRST, SECOND).join(by_role(supporting, document_facts(found), (FIRST, SECOND)), key, "left"))
+        entries = index_entries(held, ticker_map)
+        known = settled(resolved(held, entries, has_map))
     pairs = known.select("accession_number", "cik", F.posexplode("pairs").alias("ord", "pair")).select("accession_number", "cik", "ord", "pair.*")
     rows = _class_rows(known, entries, pairs).unionByName(_named_rows(known))
     if ticker_map is not None:
