@@ -171,7 +171,8 @@ def test_store(spark, tmp_path):
     assert store.record_run({"mode": "backfill", "completed_at": "x", "end_bound": "2026-07-10", "ciks_attempted": 3, "ciks_failed": 3}) == 1
     assert store.record_run({"mode": "backfill", "completed_at": "x", "end_bound": "2026-07-12", "ciks_attempted": 3, "ciks_failed": 1}) == 2
     assert store.bounds("incremental", TODAY) == (dt.date(2026, 7, 9), TODAY)
-    store._point("meta", "99,2020-01-01")
+    (tmp_path / "store" / "_meta").unlink()
+    store._create(f"file://{tmp_path}/store/_meta", '[99, "2020-01-01"]')
     with pytest.raises(VersionError):
         Store.open(spark, f"file://{tmp_path}/store", TODAY)
 
