@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,9 +88,13 @@ def filings(lists: DataFrame, bounds: Bounds) -> DataFrame:
     return rows.join(names, "cik", "left").withColumns({"link": F.concat(folder, "accession_number", F.lit("-index.htm")), "primary_link": primary}).select(*assembly.FILING)
 
 
-def acquire_events(spark: SparkSession, start: dt.date | None = None, end: dt.date | None = None, ciks: Sequence[str] | None = None, now: dt.datetime | None = None, site: Site = Site()) -> Acquired:
-    """Events of the filers' filings from start to end."""
+def acquire_events(
+        spark: SparkSession, start: dt.date | None = None, end: dt.date | None = None, ciks: Sequence[str] | None = None, now: dt.datetime | None = None, site: Site = Site(),
+        final: bool = True) -> Acquired:
+    """Events of the filers' filings from start to end; if not final, as the filings say, for a store: nothing is read beyond
+    the end, and no later filing is asked for a ticker."""
     bounds = Bounds.of(start, end, now or dt.datetime.now())
+    bounds = bounds if final else replace(bounds, horizon=bounds.end)
     asked = list(ciks) if ciks else [x[0] for x in fixed.FILERS]
     body, mapping = acquire.ticker_map(spark, site.made(), site.rate)
     ticker_map = assembly.settled(feeds.ticker_map_of(spark.createDataFrame([(body,)], "body string"))) if mapping.available else None
@@ -113,7 +117,7 @@ def acquire_events(spark: SparkSession, start: dt.date | None = None, end: dt.da
     statuses = each.join(told, each["cik"] == told["cik"], "left").select(
         "place", each["cik"], F.coalesce("shown", "named").alias("filer"), F.when(error == "", "success").otherwise("failed").alias("status"),
         F.when(error == "", F.coalesce("row_count", F.lit(0))).otherwise(F.lit(0)).alias("row_count"), error.alias("error_summary"))
-    return Acquired(e.finalize(made.events, bounds.start, bounds.end, ticker_map), statuses, mapping)
+    return Acquired(e.finalize(made.events, bounds.start, bounds.end, ticker_map) if final else made.events, statuses, mapping)
 
 
 def acquire_snapshot(spark: SparkSession, *args, **named) -> DataFrame:

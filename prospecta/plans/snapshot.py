@@ -74,8 +74,12 @@ def theme_counts(rows: DataFrame, name: str = "etf_name") -> DataFrame:
     return r.zero_filled(rows, c.theme(F.col(name)), fixed.THEMES)
 
 
+def display_order() -> list:
+    return [F.desc("date"), F.asc("link"), F.asc("ticker"), F.asc("etf_name"), F.asc("event_id")]
+
+
 def sorted_display(rows: DataFrame) -> DataFrame:
-    return rows.orderBy(F.desc("date"), "link", "ticker", "etf_name", "event_id").select(*DISPLAY)
+    return rows.orderBy(*display_order()).select(*DISPLAY)
 
 
 def to_csv(rows: DataFrame, columns: tuple[str, ...]) -> bytes:
@@ -98,6 +102,15 @@ def snapshot_csv(events: DataFrame, today: dt.date, registry: DataFrame | None =
     return None if rows.isEmpty() else to_csv(rows, DISPLAY)
 
 
+def brief_of(text: str | None) -> dict | None:
+    """A stored brief, None for blank text or anything but a JSON object."""
+    try:
+        found = json.loads(text or "")
+    except ValueError:
+        return None
+    return found if isinstance(found, dict) else None
+
+
 def brief_json(data: dict) -> str:
     return json.dumps(data, indent=2) + "\n"
 
