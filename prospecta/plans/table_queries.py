@@ -43,12 +43,6 @@ def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders(spark, sf_dir).withColumns({"form": F.expr(FORM), "days": F.expr(DAYS)})
 
 
-def range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dates within bounds and a set of keys."""
-    found = orders(spark, sf_dir).filter(F.col("day").between(START, END) & F.col("o_orderstatus").isin("F", "O"))
-    return found.select("o_orderkey", "o_custkey", "day").orderBy(F.desc("day"), "o_orderkey")
-
-
 def latest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest order of each customer by date, status and price, ties by key."""
     rank = F.when(F.col("o_orderstatus") == "F", 3).when(F.col("o_orderstatus") == "O", 2).otherwise(1)
@@ -189,23 +183,11 @@ def name_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", t.normalize_name(F.concat(F.lit("<b>"), F.col("c_name"), F.lit("</b> &amp; co."))).alias("name"), t.normalize_cik(F.col("c_name")).alias("cik"), t.sanitize_ticker(F.substring("c_mktsegment", 1, 4)).alias("ticker"), t.theme_name(F.concat(F.col("c_mktsegment"), F.lit("-x/y"))).alias("theme_name"))
 
 
-def filer_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The filer dimension's groups and segments."""
-    return s.filers(spark).select("cik", "name", "group", "segment")
-
-
 def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = readiness_states(spark, sf_dir).select(F.col("state").alias("launch_readiness"), F.when(F.col("o_orderkey") % 5 > 0, "AAAA").otherwise("Not Listed").alias("ticker"), (F.col("o_orderkey") % 100).cast("string").alias("filer"), (F.col("o_orderkey") % 7 == 0).alias("etf_share_class"), F.col("effective").alias("date"))
     return s.cards(rows)
 
 
-def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct links of each page in order of appearance, and its cleaned title."""
-    rows = table(spark, sf_dir, "pages")
-    links = F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1)))
-    return rows.select("page_id", F.array_join(links, " ").alias("links"), F.size(links).cast("long").alias("n_links"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
-
-
 def cover_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """2,000 characters before to 8,000 after the first anchor, else the start of the text."""
     from prospecta.sources.documents import cover_window as window
@@ -224,8 +206,8 @@ def pair_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    range_scan, latest_snapshot, form_history, forward_fill, prior_effective, event_snapshot, elections, table_entries, alias_bridge, sibling_flag, keyed_merge, unresolved, registry_age, readiness_states,
-    vehicle_case, theme_histogram, top_filers, brief, hidden_states, ledger_skip, name_normalize, filer_groups, cards, page_links, cover_window, pair_match)}
+    latest_snapshot, form_history, forward_fill, prior_effective, event_snapshot, elections, table_entries, alias_bridge, sibling_flag, keyed_merge, unresolved, registry_age, readiness_states,
+    vehicle_case, theme_histogram, top_filers, brief, hidden_states, ledger_skip, name_normalize, cards, cover_window, pair_match)}
 
 STATES = f"""(SELECT o_orderkey, form, CASE form WHEN 'N-1A' THEN 'Initial filing' WHEN '485APOS' THEN 'Rule 485(a) amendment' ELSE 'Rule 485(b) amendment' END AS stage,
   strftime(eff, '%Y-%m-%d') AS effective, CAST(coalesce(date_diff('day', DATE '1998-03-01', eff), 0) AS INTEGER) AS days_left,
@@ -246,20 +228,18 @@ def _theme_sql() -> str:
     return f"SELECT CAST(place AS INTEGER) AS place, l.label, coalesce(n, 0) AS count FROM (VALUES {labels}) l(place, label) LEFT JOIN (SELECT {case} AS label, count(*) AS n FROM (SELECT {words} AS w FROM part) GROUP BY 1) c ON l.label = c.label"
 
 
-def _groups_sql() -> str:
-    rows = ", ".join(f"('{cik}', '{name}')" for cik, name in fixed.FILERS)
-
+def group_case(rows: str) -> str:
+    """rows (a query that has a name) with the group and segment of the name."""
     def met(x: str) -> str:
         return f"starts_with(lower(name), '{x[1:]}')" if x.startswith("^") else f"contains(lower(name), '{x}')"
 
     rules = "".join(f" WHEN {' OR '.join(map(met, needles))} THEN '{group}'" for group, needles in fixed.GROUP_RULES)
     top, trusts = (", ".join(f"'{x}'" for x in names) for names in (fixed.TOP_GROUPS, fixed.SERIES_TRUST_GROUPS))
     return f"""SELECT *, CASE WHEN "group" IN ({top}) THEN 'Top 3' WHEN "group" IN ({trusts}) THEN 'Series Trusts' ELSE 'The Field' END AS segment
-      FROM (SELECT cik, name, CASE{rules} ELSE name END AS "group" FROM (VALUES {rows}) f(cik, name))"""
+      FROM (SELECT *, CASE{rules} ELSE name END AS "group" FROM ({rows}))"""
 
 
 ORACLES = {
-    "range_scan": f"SELECT o_orderkey, o_custkey, day FROM {ORDERS} WHERE day BETWEEN '{START}' AND '{END}' AND o_orderstatus IN ('F', 'O')",
     "latest_snapshot": f"""SELECT o_custkey, o_orderkey, day, o_orderstatus FROM {ORDERS} QUALIFY row_number() OVER (PARTITION BY o_custkey
       ORDER BY day DESC, CASE o_orderstatus WHEN 'F' THEN 3 WHEN 'O' THEN 2 ELSE 1 END DESC, o_orderkey) = 1""",
     "form_history": f"""SELECT o_custkey, count(*) AS n_events, count(*) FILTER (WHERE form <> 'N-1A') AS n_amendments,
@@ -297,11 +277,8 @@ ORACLES = {
     "name_normalize": r"""SELECT c_custkey, trim(regexp_replace(upper(c_name || ' & co.'), '[^A-Z0-9]+', ' ', 'g')) AS name,
       CASE WHEN length(n) = 0 OR length(n) >= 10 THEN n ELSE lpad(n, 10, '0') END AS cik, CASE WHEN regexp_full_match(upper(c_mktsegment[1:4]), '[A-Z]{2,5}') THEN upper(c_mktsegment[1:4]) ELSE 'Not Listed' END AS ticker,
       lower(c_mktsegment) || ' x y' AS theme_name FROM (SELECT *, regexp_replace(c_name, '[^0-9]', '', 'g') AS n FROM customer)""",
-    "filer_groups": _groups_sql(),
     "cards": f"""SELECT count(*) AS n_rows, count(*) FILTER (WHERE o_orderkey % 5 > 0) AS listed, count(DISTINCT o_orderkey % 100) AS filers,
       count(*) FILTER (WHERE state = 'Upcoming launch') AS upcoming, count(*) FILTER (WHERE o_orderkey % 7 = 0) AS share_classes, max(effective) AS latest FROM {STATES}""",
-    "page_links": """SELECT page_id, coalesce(array_to_string(list_transform(list_sort(list_transform(list_distinct(l), lambda x: {'p': list_position(l, x), 'x': x})), lambda y: y.x), ' '), '') AS links,
-      CAST(len(list_distinct(l)) AS BIGINT) AS n_links, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM (SELECT *, regexp_extract_all(html, 'href="([^"]+)"', 1) AS l FROM pages)""",
     "cover_window": """SELECT doc_id, CAST(length(c) AS BIGINT) AS n, md5(c) AS digest FROM (SELECT doc_id, CASE WHEN p > 0 THEN substr(text, greatest(1, p - 2000), p + 8000 - greatest(1, p - 2000)) ELSE left(text, 120000) END AS c
       FROM (SELECT doc_id, text, CASE WHEN instr(s, ' the of ') > 0 THEN instr(s, ' the of ') ELSE instr(s, ' la ') END AS p FROM (SELECT doc_id, text, lower(left(text, 1000000)) AS s FROM documents)))""",
     "pair_match": """WITH part2 AS (SELECT *, upper(split_part(p_name, ' ', 1)) AS word FROM part),

@@ -17,6 +17,9 @@ def test_submissions(spark):
     recent = {"form": ["N-1A", "S-1/A", "485BPOS", "S-1"], "filingDate": ["2026-01-02", "2026-01-02", "2025-01-02", "2026-02-01"], "accessionNumber": ["a", "b", "c"], "primaryDocument": ["x.htm"], "acceptanceDateTime": []}
     rows = spark.createDataFrame([("1", json.dumps({"filings": {"recent": recent}}))], "cik string, body string")
     assert [tuple(x) for x in feeds.filings_of(rows, "2026-01-01", "2026-12-31").collect()] == [("0000000001", "N-1A", "2026-01-02", "a", "x.htm", "")]
+    del recent["acceptanceDateTime"], recent["primaryDocument"]
+    rows = spark.createDataFrame([("1", json.dumps({"filings": {"recent": recent}})), ("2", "{}"), ("3", None)], "cik string, body string")
+    assert [tuple(x) for x in feeds.filings_of(rows, "2026-01-01", "2026-12-31").collect()] == [("0000000001", "N-1A", "2026-01-02", "a", "", "")]
 
 
 def test_ticker_map(spark):

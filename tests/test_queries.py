@@ -6,7 +6,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from prospecta.plans import table_queries as m
+from prospecta.plans import filing_queries, table_queries
+
+QUERIES, ORACLES = table_queries.QUERIES | filing_queries.QUERIES, table_queries.ORACLES | filing_queries.ORACLES
 
 DIR = "/root/testdata/sf0.001"
 
@@ -26,9 +28,9 @@ def same(got: pd.DataFrame, want: pd.DataFrame) -> None:
     pd.testing.assert_frame_equal(a, b)
 
 
-@pytest.mark.parametrize("name", sorted(m.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, tables, name):
-    same(m.QUERIES[name](spark, DIR).toPandas(), tables.sql(m.ORACLES[name]).df())
+    same(QUERIES[name](spark, DIR).toPandas(), tables.sql(ORACLES[name]).df())
 
 
 def test_entry(spark):
