@@ -31,6 +31,11 @@ def store_order() -> list[Column]:
     return [F.desc("date"), F.desc("accepted_at"), F.asc("event_id")]
 
 
+def by_time(events: DataFrame) -> DataFrame:
+    """Events as a search lists them: the latest first by event time, those of one time in store order."""
+    return events.orderBy(F.desc(d.event_time(F.col("accepted_at"), F.col("date"))), *store_order())
+
+
 def range_scan(events: DataFrame, start: str, end: str, ciks: list[str] | None = None) -> DataFrame:
     """Events of filing dates from start to end, both included, in store order. No filers gives none, None all."""
     found = events.filter(F.col("date").between(start, end))

@@ -5,6 +5,7 @@ Orders stand for filings (two orders share an accession: co-registrants), parts
 
 from __future__ import annotations
 
+import datetime as dt
 import tempfile
 import uuid
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from prospecta import fixed
 from prospecta.functions import text as t
 from prospecta.operators import events as e
-from prospecta.plans import assembly
+from prospecta.plans import assembly, display
 from prospecta.plans import snapshot as s
 from prospecta.plans.table_queries import ORDERS, TODAY, filings, group_case, orders, table
 from prospecta.schema import as_events
@@ -169,7 +170,34 @@ def filer_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.withColumn("group", t.group_of(F.col("name"))).withColumn("segment", t.segment_of(F.col("group")))
 
 
+def search_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders within chosen dates; some have no date that is one."""
+    date = F.when(F.col("o_orderkey") % 13 == 0, "soon").when(F.col("o_orderkey") % 13 == 1, "1996-02-31").otherwise(F.col("day"))
+    rows = orders(spark, sf_dir).select("o_orderkey", date.alias("date"))
+    return display.within(rows, dt.date(1996, 1, 15), dt.date(1996, 9, 30))
+
+
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How customers as filers fared: those in debt failed; some have no name."""
+    rows = table(spark, sf_dir, "customer").select(
+        F.when(F.col("c_custkey") % 3 > 0, F.col("c_mktsegment")).otherwise("").alias("filer"), (F.col("c_custkey") % 7).cast("string").alias("cik"),
+        F.when(F.col("c_acctbal") < 0, "failed").otherwise("success").alias("status"))
+    return display.status_counts(rows)
+
+
+def column_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest text in each column of parts."""
+    return display.column_lengths(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"))
+
+
+def short_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order dates as they are shown."""
+    day = F.when(F.col("o_orderkey") % 10 > 0, F.col("day").cast("date"))
+    return orders(spark, sf_dir).select("o_orderkey", display.short_date(day).alias("shown"))
+
+
 QUERIES = {f.__name__: f for f in (
+    search_window, status_counts, column_lengths, short_dates,
     assembled_events, document_facts, scope_propagation, ticker_map_join, ambiguous_map, json_props, submissions_lists, feed_dates, microbatch_dedupe, store_upsert, range_scan, page_links, filer_groups)}
 
 
@@ -189,6 +217,12 @@ def _decoded(value: str) -> str:
 
 _NAMES = ", ".join(f"({i}, '{name}')" for i, (_, name) in enumerate(fixed.FILERS))
 ORACLES = {
+    "search_window": f"""SELECT o_orderkey, day AS date FROM {ORDERS} WHERE o_orderkey % 13 > 1 AND day BETWEEN '1996-01-15' AND '1996-09-30'""",
+    "status_counts": """SELECT count(*) AS searched, count(*) FILTER (WHERE c_acctbal >= 0) AS succeeded, count(*) FILTER (WHERE c_acctbal < 0) AS failed,
+      coalesce(string_agg(DISTINCT CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment ELSE CAST(c_custkey % 7 AS VARCHAR) END, ', ' ORDER BY CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment ELSE CAST(c_custkey % 7 AS VARCHAR) END)
+        FILTER (WHERE c_acctbal < 0), '') AS failed_filers FROM customer""",
+    "column_lengths": "SELECT " + ", ".join(f"CAST(greatest(coalesce(max(length(CAST({x} AS VARCHAR))), 0), {len(x)}) AS INTEGER) AS {x}" for x in ("p_partkey", "p_name", "p_brand", "p_type", "p_size")) + " FROM part",
+    "short_dates": f"SELECT o_orderkey, CASE WHEN o_orderkey % 10 > 0 THEN strftime(CAST(day AS DATE), '%-m/%-d/%y') ELSE 'N/A' END AS shown FROM {ORDERS}",
     "assembled_events": f"""WITH f AS (SELECT o_orderkey - o_orderkey % 2 AS k, lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS cik, min(day) AS date FROM {ORDERS} GROUP BY 1, 2),
       c AS (SELECT *, 'C' || lpad(CAST(k AS VARCHAR), 8, '0') || n AS class_id FROM f, (VALUES ('1', 'First ETF'), ('2', 'Second ETF')) x(n, etf_name))
       SELECT 'n' || k || ':' || class_id AS event_id, cik, date, etf_name, 'S' || lpad(CAST(k AS VARCHAR), 9, '0') AS series_id, class_id,

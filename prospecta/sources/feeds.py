@@ -45,10 +45,22 @@ def first_filing_dates(feeds: DataFrame) -> DataFrame:
     return rows.groupBy("series_id").agg(F.min(F.col("date").try_cast("date")).alias("first_filing_date"))
 
 
+# Links of an index page: those of anchors; without any, by their form in this order.
+PATH = r"/Archives/edgar/data/"
+ANCHORS = rf"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*["']([^"']*{PATH}[^"']*)["']"""
+GROUPS = (
+    rf'(?i)href="/ix\?doc=({PATH}[^"]+\.(?:htm|html))"', rf'(?is)<tr[^>]*>\s*<td[^>]*>\s*1\s*</td>.*?href="({PATH}[^"]+\.(?:htm|html))"',
+    rf'(?i)href="({PATH}[^"]+_htm\.xml)"', rf'(?i)href="({PATH}[^"]+\.txt)"', rf'(?i)href="({PATH}[^"]+\.(?:htm|html))"',
+)
+
+
 def supporting_links(index: Column, base: str, excluded: Column | None = None, most: int = 2) -> Column:
-    """Up to `most` document addresses of an index page, in order: archive links, viewer prefixes stripped, index pages and
-    excluded ones skipped."""
-    links = F.transform(F.regexp_extract_all(index, F.lit(r"""href\s*=\s*["']([^"']*/Archives/edgar/data/[^"']*)["']"""), F.lit(1)), lambda x: F.regexp_replace(F.trim(x), r"(?i)^/ix\?doc=", ""))
-    links = F.filter(links, lambda x: ~F.lower(x).rlike(r"/index\.html?\z") & t.has_document_suffix(x))
-    whole = F.array_distinct(F.transform(links, lambda x: t.absolute_url(x, base)))
+    """Up to `most` document addresses of an index page, each once: those of its anchors in order (viewer prefixes stripped), or if it has no such
+    anchor, those of other tags by form. Index pages, excluded addresses and what is no document are skipped."""
+    def found(pattern: str) -> Column:
+        return F.filter(F.regexp_extract_all(index, F.lit(pattern), F.lit(1)), lambda x: ~F.lower(x).rlike(r"/index\.html?\z"))
+
+    anchors = F.transform(found(ANCHORS), lambda x: F.regexp_replace(F.replace(F.trim(x), F.lit("&amp;"), F.lit("&")), r"(?i)^/ix\?doc=", ""))
+    links = F.when(F.size(anchors) > 0, anchors).otherwise(F.concat(*map(found, GROUPS)))
+    whole = F.array_distinct(F.transform(F.filter(links, t.has_document_suffix), lambda x: t.absolute_url(x, base)))
     return F.slice(F.array_except(whole, excluded) if excluded is not None else whole, 1, most)

@@ -253,6 +253,19 @@ class Store:
         """rows with `read_by`: the parser version that has read their filing, null for none."""
         return rows.join(self.table("ledger").select("accession_number", F.col("parser_version").alias("read_by")), "accession_number", "left")
 
+    def parser_version_of(self, accession: str) -> int | None:
+        """The parser version that has read a filing."""
+        found = self.table("ledger").filter(F.col("accession_number") == accession).select("parser_version").first()
+        return found.parser_version if found else None
+
+    def first_filing_dates(self) -> DataFrame:
+        """series_id (upper, trimmed) and first_filing_date of the registry; nothing if it cannot be read."""
+        try:
+            rows = self.table("registry")
+        except Exception:  # a search goes on without ages
+            rows = self.spark.createDataFrame([], TABLES["registry"])
+        return rows.select(F.upper(F.trim("series_id")).alias("series_id"), "first_filing_date")
+
     def is_processed(self, rows: DataFrame) -> DataFrame:
         return rows.join(self.table("ledger").select("accession_number"), "accession_number", "left_semi")
 
@@ -334,8 +347,13 @@ def load_store_first(store: Store, start: dt.date, end: dt.date, ciks: list[str]
     live gives (events, errors by filer). A failed top-up leaves the stored events and a notice.
     """
     spark, notices, errors, source = store.spark, [], {}, "store"
-    stored = store.load_events(start.isoformat(), end.isoformat(), ciks) if store.available() else store.load_events("9", "0")
-    run = store.last_good_run() if store.available() else None
+    try:
+        available = store.available()
+        stored = store.load_events(start.isoformat(), end.isoformat(), ciks) if available else store._read("events", []).select(*EVENT_FIELDS)
+        run = store.last_good_run() if available else None
+    except Exception as error:  # what is stored cannot be read; what is on the site can
+        notices.append(f"the store could not be read: {type(error).__name__}")
+        stored, run = store._read("events", []).select(*EVENT_FIELDS), None
     covered = dt.date.fromisoformat(run["end_bound"]) if run else None
     merged = stored
     if live is not None and (covered is None or covered < end):
