@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,3 +57,10 @@ def earliest_effective(designated: Column, date: Column, days: Column) -> Column
 
 def age_cutoff(start: Column, months: int = fixed.SERIES_NEW_MONTHS) -> Column:
     return F.add_months(start, -months)
+
+
+def as_day(value: dt.date | dt.datetime | str) -> dt.date:
+    """A day given as a date, a time or text that begins with an ISO date."""
+    if isinstance(value, dt.datetime):
+        return value.date()
+    return value if isinstance(value, dt.date) else dt.date.fromisoformat(str(value)[:10])

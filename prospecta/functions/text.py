@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +32,17 @@ def clean_html(value: Column) -> Column:
     return one_spaced(reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), ENTITIES, plain))
 
 
+def clean_html_any(value: Column) -> Column:
+    """As clean_html, with every entity there is decoded: for text of unknown origin. A UDF over Arrow batches."""
+    from prospecta.sources.parse import clean
+
+    @F.pandas_udf("string")
+    def cleaned(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: clean(v or ""))
+
+    return cleaned(text(value))
+
+
 def normalize_name(value: Column) -> Column:
     return F.trim(F.regexp_replace(F.upper(clean_html(value)), "[^A-Z0-9]+", " "))
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from prospecta import fixed
 from prospecta.functions import text as t
 from prospecta.operators import events as e
+from prospecta.operators import relational as r
 from prospecta.plans import assembly
 from prospecta.sources import acquire, feeds
 
@@ -81,7 +82,8 @@ class Acquired:
 
 def filings(lists: DataFrame, bounds: Bounds) -> DataFrame:
     """assembly.FILING of the filings in submissions lists (cik, body), with the addresses of index page and primary document."""
-    rows = feeds.filings_of(lists, bounds.first_day, bounds.last_day)
+    rows = feeds.filings_of(lists, bounds.first_day, bounds.last_day, place=True)
+    rows = r.latest_by(rows, ["cik", "accession_number"], [F.asc("place")])  # a filing listed twice counts where it comes first
     names = lists.select(t.normalize_cik(F.col("cik")).alias("cik"), F.get_json_object("body", "$.name").alias("filer"))
     folder = F.concat(F.lit(f"{acquire.SITE}/Archives/edgar/data/"), F.col("cik").cast("long").cast("string"), F.lit("/"), F.replace("accession_number", F.lit("-"), F.lit("")), F.lit("/"))
     primary = F.when(F.col("primary_document") != "", F.concat(folder, "primary_document"))

@@ -14,12 +14,13 @@ RECENT = (
 )
 
 
-def filings_of(submissions: DataFrame, start: str, end: str) -> DataFrame:
+def filings_of(submissions: DataFrame, start: str, end: str, place: bool = False) -> DataFrame:
     """Filings of the known forms within bounds from (cik, body) rows: parallel arrays zipped, ragged ends skipped where a
-    required value is missing, blank where an optional one, or all of its array, is. Filters come before any document is read."""
+    required value is missing, blank where an optional one, or all of its array, is. Filters come before any document is read. `place`,
+    if asked for, is the filing's in its list."""
     recent = F.from_json("body", RECENT)["filings"]["recent"]
-    rows = submissions.select(t.normalize_cik(F.col("cik")).alias("cik"), F.inline(F.arrays_zip(*[F.coalesce(recent[x], F.array().cast("array<string>")).alias(x) for x in ("form", "filingDate", "accessionNumber", "primaryDocument", "acceptanceDateTime")])))
-    rows = rows.toDF("cik", "form", "date", "accession_number", "primary_document", "accepted_at").filter("form is not null and date is not null and accession_number is not null")
+    rows = submissions.select(t.normalize_cik(F.col("cik")).alias("cik"), F.posexplode(F.arrays_zip(*[F.coalesce(recent[x], F.array().cast("array<string>")).alias(x) for x in ("form", "filingDate", "accessionNumber", "primaryDocument", "acceptanceDateTime")])))
+    rows = rows.select("cik", "col.*", *["pos"] * place).toDF("cik", "form", "date", "accession_number", "primary_document", "accepted_at", *["place"] * place).filter("form is not null and date is not null and accession_number is not null")
     return rows.filter(F.col("form").isin(*fixed.FORMS) & F.col("date").between(start, end)).fillna("", ["primary_document", "accepted_at"])
 
 

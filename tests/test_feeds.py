@@ -22,6 +22,24 @@ def test_submissions(spark):
     assert [tuple(x) for x in feeds.filings_of(rows, "2026-01-01", "2026-12-31").collect()] == [("0000000001", "N-1A", "2026-01-02", "a", "", "")]
 
 
+def test_a_filing_listed_twice_counts_first(spark):
+    from prospecta.plans.acquisition import Bounds, filings
+
+    recent = {"form": ["N-1A", "S-1", "S-1"], "filingDate": ["2026-01-02"] * 3, "accessionNumber": ["a-1", "a-1", "b-1"], "primaryDocument": ["x.htm", "y.htm", ""]}
+    rows = spark.createDataFrame([("0000000001", json.dumps({"name": "N", "filings": {"recent": recent}}))], "cik string, body string")
+    got = filings(rows, Bounds.of(dt.date(2026, 1, 1), dt.date(2026, 2, 1), dt.datetime(2026, 3, 1))).collect()
+    assert sorted((x.accession_number, x.form, x.primary_link and x.primary_link.rsplit("/", 2)[1:], x.link.rsplit("/", 3)[1:]) for x in got) == [
+        ("a-1", "N-1A", ["a1", "x.htm"], ["1", "a1", "a-1-index.htm"]), ("b-1", "S-1", None, ["1", "b1", "b-1-index.htm"])]
+
+
+def test_text_of_unknown_origin(spark):
+    from prospecta.functions import dates, text
+
+    row = spark.createDataFrame([("<b>A&eacute;&#8212;&#x41;</b>&nbsp; &amp;amp; x",), (None,)], "x string").select(text.clean_html_any(F.col("x")).alias("y")).collect()
+    assert [x.y for x in row] == ["Aé—A &amp; x", ""]
+    assert {dates.as_day(x) for x in (dt.date(2026, 1, 2), dt.datetime(2026, 1, 2, 3), "2026-01-02", "2026-01-02T10:00:00Z")} == {dt.date(2026, 1, 2)}
+
+
 def test_ticker_map(spark):
     body = {"fields": ["symbol", "cik", "classId", "seriesId"], "data": [["ABC", 1, "c1", "s1"], ["???", 1, "c2", "s1"], ["ABD", 1, "c1", "s1"]]}
     rows = spark.createDataFrame([(json.dumps(body),)], "body string")
