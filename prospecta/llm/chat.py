@@ -9,8 +9,8 @@ message unless a later event sets it again. Events without a message id stand fo
 
 Defined results: a null text or role is empty; a null kind is `message`; events of one message with equal sequence
 fold in the order (set before delta, text); messages of equal first sequence are ordered by (role, text); repeated
-rows without a message id are kept, each as a turn; rows of a null conversation form one; an empty log gives none.
-Other columns are ignored.
+rows without a message id are kept, each as a turn; rows of a null conversation form one; an empty log gives none;
+a conversation is one row however many turns it has, made and read in time that grows with it. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prospecta.llm.common import BLOCK, block_starts, bound
+
 HEAD, MID, TAIL = "### ", ": ", "</turn>\n"
+#: Code points of a page of a formatted text.
+PAGE = 4096
 
 
 def escape(text: Column, role: bool = False) -> Column:
@@ -70,20 +74,27 @@ def reconstruct(events: DataFrame) -> DataFrame:
 
 
 def render(conversations: DataFrame, train_on: str = "assistant") -> DataFrame:
-    """conv_id, formatted, loss array<struct<start, chars>>: the mask has the texts of role `train_on`, in code points."""
-    part = F.transform("turns", lambda x: F.struct(
-        F.concat(F.lit(HEAD), escape(x.role, role=True), F.lit(MID)).alias("head"), escape(x.text).alias("body"), (x.role == train_on).alias("on")))
-    lengths = conversations.select("conv_id", part.alias("parts"))
-    spans = F.aggregate(
-        "parts", F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,chars:long>>").alias("spans")),
-        lambda acc, x: F.struct(
-            (acc.at + F.length(x.head) + F.length(x.body) + F.lit(len(TAIL))).alias("at"),
-            F.when(x.on, F.array_append(acc.spans, F.struct((acc.at + F.length(x.head)).alias("start"), F.length(x.body).cast("long").alias("chars")))).otherwise(acc.spans).alias("spans"),
-        ),
-        lambda acc: acc.spans,
-    )
-    text = F.array_join(F.transform("parts", lambda x: F.concat(x.head, x.body, F.lit(TAIL))), "")
-    return lengths.select("conv_id", text.alias("formatted"), spans.alias("loss"))
+    """conv_id, formatted, loss array<struct<start, chars>>: the mask has the texts of role `train_on`, in code points. Places are summed
+    block by block, so that the work grows with the turns and not with their square."""
+    def part(x: Column) -> Column:
+        head, body = F.concat(F.lit(HEAD), escape(x.role, role=True), F.lit(MID)), escape(x.text)
+        return F.struct(head.alias("head"), body.alias("body"), (x.role == train_on).alias("on"), (F.length(head) + F.length(body) + len(TAIL)).alias("n"))
+
+    def masked_in(parts: Column, at: Column) -> Column:
+        span = "array<struct<start:long,chars:long>>"
+        return F.aggregate(
+            parts, F.struct(at.alias("at"), F.array().cast(span).alias("spans")),
+            lambda acc, x: F.struct(
+                (acc.at + x.n).alias("at"),
+                F.when(x.on, F.array_append(acc.spans, F.struct((acc.at + F.length(x.head)).alias("start"), F.length(x.body).cast("long").alias("chars")))).otherwise(acc.spans).alias("spans")),
+            lambda acc: acc.spans)
+
+    def made(parts: Column) -> Column:
+        text = F.array_join(F.transform(parts, lambda x: F.concat(x.head, x.body, F.lit(TAIL))), "")
+        loss = bound(block_starts(parts), lambda starts: F.flatten(F.transform(starts, lambda at, i: masked_in(F.slice(parts, i * BLOCK + 1, BLOCK), at))))
+        return F.struct(text.alias("formatted"), loss.alias("loss"))
+
+    return conversations.select("conv_id", bound(F.transform("turns", part), made).alias("out")).select("conv_id", "out.formatted", "out.loss")
 
 
 def parse(formatted: Column) -> Column:
@@ -96,8 +107,13 @@ def parse(formatted: Column) -> Column:
 
 
 def masked(formatted: Column, loss: Column) -> Column:
-    """The unescaped text under the loss mask."""
-    return F.array_join(F.transform(loss, lambda s: unescape(F.substring(formatted, (s.start + 1).cast("int"), s.chars.cast("int")))), "")
+    """The unescaped text under the loss mask. Spans are read from pages of the text, so that none walks all that is before it."""
+    def span(pages: Column, s: Column) -> Column:
+        first = F.floor(s.start / PAGE).cast("int")
+        near = F.array_join(F.slice(pages, first + 1, F.floor((s.start + s.chars) / PAGE).cast("int") - first + 1), "")
+        return unescape(F.substring(near, (s.start % PAGE + 1).cast("int"), s.chars.cast("int")))
+
+    return bound(F.regexp_extract_all(formatted, F.lit(rf"(?s).{{1,{PAGE}}}"), F.lit(0)), lambda pages: F.array_join(F.transform(loss, lambda s: span(pages, s)), ""))
 
 
 def events_of(turns: DataFrame) -> DataFrame:

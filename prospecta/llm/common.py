@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +78,23 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
 
 
+#: Elements of a long array are summed and numbered block by block: appending to an array copies it, so arrays that grow are kept short.
+BLOCK = 128
+
+
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value made once and not anew for each element of what follows."""
+    return F.transform(F.array(value), then)[0]
+
+
+def block_starts(pieces: Column) -> Column:
+    """Where each block of BLOCK pieces (of length n) begins."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / BLOCK).cast("int")), lambda i: F.aggregate(F.slice(pieces, i * BLOCK + 1, BLOCK), F.lit(0).cast("long"), lambda n, x: n + x.n))
+    return F.aggregate(
+        blocks, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out")),
+        lambda acc, n: F.struct((acc.at + n).alias("at"), F.array_append(acc.out, acc.at).alias("out")), lambda acc: acc.out)
+
+
 def slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most `limit` bytes of text, or of one row."""
     for batch in batches:

@@ -19,7 +19,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return found.select(
         "doc_id", n("assign"), n("access"), n("hex"), F.sha2(secrets.digest(F.col("base")), 256).alias("base_sha256"),
-        secrets.digest(F.col("spans")).alias("spans"), "n_specific", "n_copied")
+        secrets.digest(F.col("spans")).alias("spans"), "n_specific", "n_copied", "most_repositories")
 
 
 def _kind(order: int, pattern: str, test: str, flags: str = "") -> str:
@@ -37,17 +37,18 @@ SQL = f"""
 WITH c AS (
   {_kind(0, secrets.ASSIGN, "length(v) >= 6")} UNION ALL {_kind(1, secrets.ACCESS, "length(v) >= 20")}
   UNION ALL {_kind(2, secrets.HEX, "true")} UNION ALL {_kind(3, secrets.LONG, LIVE.format("v"))}
-), f AS (SELECT v, count(DISTINCT source) <= 2 AS specific FROM c GROUP BY v),
-j AS (SELECT c.*, specific FROM c JOIN f USING (v)),
+), f AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) <= 2 AS specific, count(DISTINCT coalesce(source, chr(0)) || chr(1) || concat_ws('/', source, lang)) AS repositories FROM c GROUP BY v),
+j AS (SELECT c.*, specific, repositories FROM c JOIN f USING (v)),
 r AS (
   SELECT doc_id, count(*) FILTER (WHERE o = 0) AS n_assign, count(*) FILTER (WHERE o = 1) AS n_access, count(*) FILTER (WHERE o = 2) AS n_hex,
     string_agg(['assign', 'access', 'hex', 'owned'][o + 1] || ':' || s || ':' || e, ',' ORDER BY s, o) FILTER (WHERE o < 3) AS base,
     string_agg(['assign', 'access', 'hex', 'owned'][o + 1] || ':' || s || ':' || e, ',' ORDER BY s, o) FILTER (WHERE o < 3 OR specific) AS spans,
-    count(DISTINCT v) FILTER (WHERE specific AND {LIVE.format("v")}) AS n_specific, count(DISTINCT v) FILTER (WHERE NOT specific) AS n_copied
+    count(DISTINCT v) FILTER (WHERE specific AND {LIVE.format("v")}) AS n_specific, count(DISTINCT v) FILTER (WHERE NOT specific) AS n_copied,
+    max(repositories) FILTER (WHERE specific AND {LIVE.format("v")}) AS most_repositories
   FROM j GROUP BY doc_id
 )
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_specific, 0) AS n_specific, coalesce(n_copied, 0) AS n_copied
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_specific, 0) AS n_specific, coalesce(n_copied, 0) AS n_copied, coalesce(most_repositories, 0) AS most_repositories
 FROM documents d LEFT JOIN r USING (doc_id)
 """
 QUERIES = {"op1_secret_scan": op1_secret_scan}

@@ -17,12 +17,10 @@ reported each and count once by owner; an empty table gives an empty result; oth
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prospecta.llm.common import written
+from prospecta.llm.common import BLOCK, block_starts, bound, written
 
 #: Kinds in the order of the digest, their patterns, and how long a match (or its group) must be.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -34,24 +32,9 @@ LONG = r"[A-Za-z0-9+/_=-]{20,}"
 #: Owners that a value may have and still be specific, and the different characters of a live-looking one.
 MAX_OWNERS, LEAST_DISTINCT = 2, 8
 KINDS = ("assign", "access", "hex", "owned")
-#: Matches of a text are numbered block by block: appending to an array copies it, so arrays that grow are kept short.
-BLOCK = 128
 SPAN = "struct<start:bigint,order:int,end:bigint,value:string>"
 
 
-def bound(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value), with the value made once and not anew for each element of what follows."""
-    return F.transform(F.array(value), then)[0]
-
-
-def _starts(pieces: Column) -> Column:
-    """Where each block of BLOCK pieces (of length n) begins."""
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / BLOCK).cast("int")), lambda i: F.aggregate(F.slice(pieces, i * BLOCK + 1, BLOCK), F.lit(0).cast("long"), lambda n, x: n + x.n))
-    return F.aggregate(
-        blocks, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out")),
-        lambda acc, n: F.struct((acc.at + n).alias("at"), F.array_append(acc.out, acc.at).alias("out")), lambda acc: acc.out)
-
-
 def _block(pieces: Column, at: Column, order: int) -> Column:
     """array<SPAN> of the matches in a block that begins at a place."""
     return F.aggregate(
@@ -65,7 +48,7 @@ def _matches(text: Column, pattern: str, order: int, maybe: Column) -> Column:
     """array<SPAN> of all matches in code points; `maybe` is a cheap test that all texts with a match pass."""
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     both = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(p.alias("p"), m.alias("m"), (F.length(p) + F.length(m)).alias("n")))
-    spans = bound(both, lambda all_: bound(_starts(all_), lambda starts: F.flatten(F.transform(starts, lambda at, i: _block(F.slice(all_, i * BLOCK + 1, BLOCK), at, order)))))
+    spans = bound(both, lambda all_: bound(block_starts(all_), lambda starts: F.flatten(F.transform(starts, lambda at, i: _block(F.slice(all_, i * BLOCK + 1, BLOCK), at, order)))))
     return F.when(maybe & text.rlike(pattern), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 

@@ -491,3 +491,20 @@ def test_secrets_of_a_text_with_very_many(spark, n):
     text = "".join(f"é token={i:06d}x " for i in range(n))
     found = ALL["secrets"](table(spark, [(1, text)])).first()
     assert [(x.kind, x.start, x.end) for x in found.base] == [("assign", m.start(), m.end()) for m in re.finditer(r"token=\w+", text)]
+
+
+def test_a_conversation_of_very_many_turns(spark):
+    """Formatted and read back in time that grows with it."""
+    made = spark.range(100_000).select(
+        F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("é <turn> #"), F.col("id")).alias("text"))
+    out = chat.render(chat.reconstruct(chat.events_of(made)))
+    row = out.select(F.size(chat.parse(F.col("formatted"))).alias("n"), F.size("loss").alias("spans"), F.sha2(chat.masked(F.col("formatted"), F.col("loss")), 256).alias("under")).first()
+    want = hashlib.sha256("".join(f"é <turn> #{i}" for i in range(1, 100_000, 2)).encode()).hexdigest()
+    assert (row.n, row.spans, row.under) == (100_000, 50_000, want)
+
+
+def test_masks_across_pages(spark):
+    long = "ab€" * 3000
+    turns = spark.createDataFrame([(1, 0, "assistant", long), (1, 1, "user", "x" * 5000), (1, 2, "assistant", ""), (1, 3, "assistant", long[1:]), (2, 0, "user", "none")], "conv_id long, turn long, role string, text string")
+    out = chat.render(chat.reconstruct(chat.events_of(turns)))
+    assert {x.conv_id: x.u for x in out.select("conv_id", chat.masked(F.col("formatted"), F.col("loss")).alias("u")).collect()} == {1: long + long[1:], 2: ""}
