@@ -168,6 +168,7 @@ def blocks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             for at in range(0, len(chunks), BATCH):
                 tokens = tokenizers.tokens(strings(chunks.slice(at, BATCH)))
                 yield columns(len(tokens), code=pa.array(np.arange(at, at + len(tokens)), pa.int32()), tokens=pa.array(tokens, pa.list_(pa.int32())))
+            pa.default_memory_pool().release_unused()  # what a block took is the executor's again
 
     return docs_only(docs).mapInArrow(make, BLOCK_ROWS)
 
