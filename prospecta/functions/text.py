@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from functools import reduce
 
 import pandas as pd
@@ -144,10 +145,10 @@ def segment_of(group: Column) -> Column:
     return F.when(group.isin(*fixed.TOP_GROUPS), "Top 3").when(group.isin(*fixed.SERIES_TRUST_GROUPS), "Series Trusts").otherwise("The Field")
 
 
-def filer_label(cik: Column, configured: Column, filer: Column) -> Column:
-    """The configured name before the filed one, in capitals; some filers share a label."""
+def filer_label(cik: Column, configured: Column, filer: Column, shared: Sequence[str] = fixed.TIDAL_FILERS) -> Column:
+    """The configured name before the filed one, in capitals; `shared` filers, and those of their name, share a label."""
     name = F.upper(F.coalesce(F.nullif(configured, F.lit("")), text(filer)))
-    return F.when(cik.isin(*fixed.TIDAL_FILERS) | name.contains(fixed.TIDAL_NAME), fixed.TIDAL_LABEL).otherwise(name)
+    return F.when(cik.isin(*shared) | name.contains(fixed.TIDAL_NAME), fixed.TIDAL_LABEL).otherwise(name)
 
 
 def any_word(terms: tuple[str, ...]) -> str:

@@ -106,8 +106,9 @@ def index_entries(filings: DataFrame, ticker_map: DataFrame | None) -> DataFrame
     return e.enrich_from_map(rows, ticker_map) if ticker_map is not None else rows
 
 
-def resolved(filings: DataFrame, entries: DataFrame, has_map: bool) -> DataFrame:
-    """Filings with what their documents, asked in order, say: ticker, name, filer, pairs, listing and election."""
+def resolved(filings: DataFrame, entries: DataFrame, has_map: bool, filers: Sequence[tuple[str, str]] = fixed.FILERS) -> DataFrame:
+    """Filings with what their documents, asked in order, say: ticker, name, filer, pairs, listing and election. Filers that
+    are listed (cik, name) are shown by that name."""
     lack = entries.groupBy("accession_number", "cik").agg(
         F.count(F.lit(1)).alias("n_entries"), F.bool_or(F.col("ticker") == "").alias("no_ticker"), F.bool_or(F.col("etf_name") == "").alias("no_name"))
     out = filings.join(lack, ["accession_number", "cik"], "left").fillna(0, ["n_entries"]).fillna(False, ["no_ticker", "no_name"])
@@ -129,8 +130,9 @@ def resolved(filings: DataFrame, entries: DataFrame, has_map: bool) -> DataFrame
     out = out.withColumns({
         "asked": state, "lacking": say & lacking, "exchange_listed": F.col("loaded") & F.coalesce(F.col(f"{PRIMARY}.facts.exchange_listed"), F.lit(False)),
         "election": F.when(F.col("loaded"), F.col(f"{PRIMARY}.facts.election")).otherwise(F.col(f"{INDEX}.facts.election"))})
-    named = F.broadcast(out.sparkSession.createDataFrame(fixed.FILERS, "cik string, configured string"))
-    out = out.join(named, "cik", "left").withColumn("shown_filer", t.filer_label(F.col("cik"), F.coalesce("configured", F.lit("")), F.col("asked.filer")))
+    named = F.broadcast(out.sparkSession.createDataFrame(filers, "cik string, configured string"))
+    shared = [cik for cik, _ in filers if cik in fixed.TIDAL_FILERS]
+    out = out.join(named, "cik", "left").withColumn("shown_filer", t.filer_label(F.col("cik"), F.coalesce("configured", F.lit("")), F.col("asked.filer"), shared))
     return out.select(
         "accession_number", "cik", "form", "date", "accepted_at", "link", "n_entries", "shown_filer", "exchange_listed", "election", "asked.pairs", "asked.error", "lacking",
         F.col("asked.ticker").alias("fund_ticker"), F.col("asked.name").alias("fund_name"), _fact(INDEX, "fund_name").alias("index_name"), _fact(INDEX, "fund_ticker").alias("index_ticker"))
@@ -196,22 +198,24 @@ def guarded(rows: DataFrame) -> DataFrame:
     return rows.filter(reduce(lambda a, b: a & b, guards))
 
 
-def assemble(filings: DataFrame, documents: DataFrame, base: str, ticker_map: DataFrame | None = None, more: Callable[[DataFrame], DataFrame] | None = None) -> Assembled:
+def assemble(filings: DataFrame, documents: DataFrame, base: str, ticker_map: DataFrame | None = None, more: Callable[[DataFrame], DataFrame] | None = None,
+             filers: Sequence[tuple[str, str]] = fixed.FILERS) -> Assembled:
     """Events of filings (FILING, one row each; `filer` is the submissions' name) from documents (url, text, perhaps error).
-    `more`, if given, reads the supporting documents (url) of filings that still lack something after the others."""
+    `more`, if given, reads the supporting documents (url) of filings that still lack something after the others. `filers`
+    (cik, name) are shown by those names."""
     own, key = filings.select(*FILING).dropDuplicates(["accession_number", "cik"]), ["accession_number", "cik"]
     has_map = ticker_map is not None and not ticker_map.isEmpty()
     ticker_map = ticker_map if has_map else None
     named = settled(references(own, documents, base))
     held = settled(own.join(by_role(named, document_facts(documents, named)), key, "left"))  # documents are parsed once, whatever is asked of them
     entries = index_entries(held, ticker_map)
-    known = settled(resolved(held, entries, has_map))
+    known = settled(resolved(held, entries, has_map, filers))
     if more is not None:
         supporting = named.filter(F.col("role").isin(FIRST, SECOND)).join(known.filter("lacking").select(*key), key, "left_semi")
         found = settled(more(supporting.select("url").distinct()))
         held = settled(held.drop(FIRST, SECOND).join(by_role(supporting, document_facts(found), (FIRST, SECOND)), key, "left"))
         entries = index_entries(held, ticker_map)
-        known = settled(resolved(held, entries, has_map))
+        known = settled(resolved(held, entries, has_map, filers))
     pairs = known.select("accession_number", "cik", F.posexplode("pairs").alias("ord", "pair")).select("accession_number", "cik", "ord", "pair.*")
     rows = _class_rows(known, entries, pairs).unionByName(_named_rows(known))
     if ticker_map is not None:
