@@ -29,6 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt to all cores by their key. A table of few bytes is read as one or two splits, however long its rows take."""
+    spark = rows.sparkSession
+    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with their date as text."""
     return table(spark, sf_dir, "orders").withColumn("day", F.date_format(F.col("o_orderdate").cast("date"), "yyyy-MM-dd"))
@@ -90,7 +96,7 @@ def elections(spark: SparkSession, sf_dir: str) -> DataFrame:
     mark = F.when(F.col("o_orderkey") % 3 == 0, "[ ]").otherwise("[X]")
     option = F.when(F.col("o_orderstatus") == "F", "60 days after filing").when(F.col("o_orderstatus") == "O", "75 days after filing").otherwise(
         F.concat(F.lit("on "), F.date_format(F.col("day").cast("date"), "M/d/yyyy"), F.lit(" pursuant to paragraph (b)")))
-    rows = orders(spark, sf_dir).withColumn("window", F.concat(F.lit("<tr><td>"), mark, F.lit("</td><td>"), option, F.lit("</td></tr>")))
+    rows = spread(orders(spark, sf_dir), "o_orderkey").withColumn("window", F.concat(F.lit("<tr><td>"), mark, F.lit("</td><td>"), option, F.lit("</td></tr>")))
     return rows.select("o_orderkey", parse.effectiveness_of("window").alias("e")).select("o_orderkey", F.col("e.basis").alias("basis"), F.coalesce("e.days", F.lit(-1)).alias("days"), F.col("e.designated").alias("designated"))
 
 
@@ -100,7 +106,7 @@ def table_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     ticker = F.upper(F.substring("c_mktsegment", 1, 4))
     page = F.concat(F.lit('<table><tr><td class="seriesName">S'), key, F.lit('</td><td class="seriesCell">'), F.col("c_name"), F.lit(' Trust</td></tr><tr class="contractRow"><td>C'), key,
                     F.lit("</td><td></td><td>Class A</td><td>"), ticker, F.lit('</td></tr><tr class="contractRow"><td>none</td><td></td><td></td><td>X</td></tr></table>'))
-    rows = table(spark, sf_dir, "customer").select("c_custkey", F.explode(parse.series_entries_of(page)).alias("e"))
+    rows = spread(table(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", F.explode(parse.series_entries_of(page)).alias("e"))
     return rows.select("c_custkey", "e.class_name", "e.ticker", "e.series_id", "e.series_name", "e.class_id")
 
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import duckdb
+import pandas as pd
 
-from prospecta.plans import filing_queries
-from tests.test_queries import same
+from prospecta.plans import filing_queries, table_queries
+from prospecta.sources import parse
+from tests.test_queries import DIR, same
 
 
 def test_customers_with_numbers_of_listed_filers(spark, tmp_path):
@@ -14,3 +16,16 @@ def test_customers_with_numbers_of_listed_filers(spark, tmp_path):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
     same(filing_queries.assembled_events(spark, str(tmp_path)).toPandas(), con.sql(filing_queries.ORACLES["assembled_events"]).df())
+
+
+def test_rows_that_take_long_are_dealt_to_all_cores(spark):
+    for query, sf_table in ((filing_queries.document_facts, "part"), (table_queries.elections, "orders"), (table_queries.table_entries, "customer")):
+        tasks = query(spark, DIR).rdd.getNumPartitions()
+        assert tasks >= 4 * spark.sparkContext.defaultParallelism, sf_table
+
+
+def test_windows_that_are_alike_are_read_once(monkeypatch):
+    seen = []
+    monkeypatch.setattr(parse, "effectiveness", lambda x: seen.append(x) or ("", None, "", ""))
+    out = parse.effectiveness_of.func(pd.Series(["a", "b", "a", None, None]))
+    assert len(out) == 5 and sorted(seen, key=str) == [None, "a", "b"]
