@@ -45,13 +45,18 @@ def range_scan(events: DataFrame, start: str, end: str, ciks: list[str] | None =
 
 
 def enrich_from_map(events: DataFrame, ticker_map: DataFrame) -> DataFrame:
-    """Tickers that are missing come from the official map (cik, series_id, class_id, symbol); what the filing said stays."""
-    dim = ticker_map.select(t.normalize_cik(F.col("cik")).alias("_c"), t.key_text(F.col("series_id")).alias("_s"), t.key_text(F.col("class_id")).alias("_k"), t.official_ticker(F.col("symbol")).alias("_t"))
-    dim = small(dim.filter("_t <> ''").groupBy("_c", "_s", "_k").agg(F.max("_t").alias("_t")))
-    on = (t.normalize_cik(events["cik"]) == dim["_c"]) & (t.key_text(events["series_id"]) == dim["_s"]) & (t.key_text(events["class_id"]) == dim["_k"])
-    missing = (t.sanitize_ticker(F.col("ticker")) == "Not Listed") & F.col("_t").isNotNull()
-    joined = events.join(dim, on, "left")
-    return joined.withColumns({"ticker": F.when(missing, F.col("_t")).otherwise(F.col("ticker")), "ticker_source": F.when(missing, fixed.FROM_MAP).otherwise(F.col("ticker_source"))}).drop("_c", "_s", "_k", "_t")
+    """Tickers that are missing come from the official map (cik, series_id, class_id, symbol); what the filing said stays.
+    With a large map only events that lack a ticker are shuffled; rows of the map may repeat."""
+    few = ticker_map.limit(DIMENSION_ROWS + 1).count() <= DIMENSION_ROWS
+    keys = {"_c": t.normalize_cik(F.col("cik")), "_s": t.key_text(F.col("series_id")), "_k": t.key_text(F.col("class_id"))}
+    # The hash is what is sorted by: numbers padded with zeros begin alike.
+    key, by = F.xxhash64(*keys), ["_h", *keys]
+    dim = ticker_map.select(*[v.alias(k) for k, v in keys.items()], t.official_ticker(F.col("symbol")).alias("_t")).filter("_t <> ''").groupBy(*keys).agg(F.max("_t").alias("_t")).withColumn("_h", key)
+    lacks = t.sanitize_ticker(F.col("ticker")) == "Not Listed"
+    found = (events if few else events.filter(lacks)).withColumns(keys).withColumn("_h", key).join(F.broadcast(dim) if few else dim, by, "left")
+    missing = F.col("_t").isNotNull() & (lacks if few else F.lit(True))
+    found = found.withColumns({"ticker": F.when(missing, F.col("_t")).otherwise(F.col("ticker")), "ticker_source": F.when(missing, fixed.FROM_MAP).otherwise(F.col("ticker_source"))}).select(*events.columns)
+    return found if few else events.filter(~lacks).unionAll(found)
 
 
 def fill_tickers_from_later(events: DataFrame) -> DataFrame:

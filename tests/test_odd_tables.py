@@ -5,6 +5,7 @@ from __future__ import annotations
 import duckdb
 import pandas as pd
 
+from prospecta.operators import events as e
 from prospecta.plans import filing_queries, table_queries
 from prospecta.sources import parse
 from tests.test_queries import DIR, same
@@ -29,3 +30,15 @@ def test_windows_that_are_alike_are_read_once(monkeypatch):
     monkeypatch.setattr(parse, "effectiveness", lambda x: seen.append(x) or ("", None, "", ""))
     out = parse.effectiveness_of.func(pd.Series(["a", "b", "a", None, None]))
     assert len(out) == 5 and sorted(seen, key=str) == [None, "a", "b"]
+
+
+def test_large_map_moves_only_events_without_a_ticker(spark, monkeypatch):
+    events = spark.createDataFrame([(1, "7", "s1", "c1", "", "x"), (2, "7", "s1", "c1", "OWN", "x"), (3, "8", "s1", "c1", None, "x"), (4, None, None, None, "", "x")], "id int, cik string, series_id string, class_id string, ticker string, ticker_source string")
+    known = spark.createDataFrame([("0000000007", "S1", "C1 ", "abc"), ("7", "s1", "c1", "ABB"), ("8", "s1", "c1", "no symbol!")], "cik string, series_id string, class_id string, symbol string")
+    want = [(1, "ABC", "sec_fund_ticker_map"), (2, "OWN", "x"), (3, None, "x"), (4, "", "x")]
+    for rows in (3, 2):
+        monkeypatch.setattr(e, "DIMENSION_ROWS", rows)
+        out = e.enrich_from_map(events, known)
+        assert out.columns == events.columns
+        assert sorted((x.id, x.ticker, x.ticker_source) for x in out.collect()) == want
+    assert "Union" in out._jdf.queryExecution().optimizedPlan().toString()
