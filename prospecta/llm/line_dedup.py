@@ -9,9 +9,9 @@ filter), by what can still follow a shared token in both (positional filter) and
 earlier line is removed. Sets so small that one token more or less is below `percent` have matches in their own class
 alone.
 
-Rarity comes from counts in COUNT_SLOTS hashed slots over one of COUNT_SHARE documents: a table of fixed size in the plan.
-It only decides how much is compared: frequent words stand out of any slot's noise, and among the others any order gives
-the same result.
+Rarity comes from counts of all documents' tokens in COUNT_SLOTS hashed slots: a table of fixed size in the plan. It only
+decides how much is compared: frequent words stand out of any slot's noise, and among the others any order gives the same
+result.
 
 So that a group of near lines does not become all its pairs, lines are verified in two rounds: first against one line,
 the earliest of the lists that most of its rare tokens agree on; only lines that are left then meet the earlier lines of
@@ -44,8 +44,8 @@ from prospecta.llm.common import bucketed, release, written
 BETWEEN = r"[\x20\x09-\x0D]+"
 #: The same as characters; a space, one of those that end no line, and what must be made a space before splitting.
 BLANKS = "\t\x0b\x0c\r"
-#: Slots of the token counts, which are an array in the plan, and the share of documents that is counted.
-COUNT_SLOTS, COUNT_SHARE = 1 << 16, 16
+#: Slots of the token counts, which are an array in the plan.
+COUNT_SLOTS = 1 << 16
 #: Words of 64 bits of each table that marks what is verified.
 MARK_WORDS = 1 << 17
 HASH_BITS = 56
@@ -99,9 +99,14 @@ def _slot(token: Column) -> Column:
 
 
 def _levels(rows: DataFrame, k: int) -> Column:
-    """Below 128 for each slot of tokens: the logarithm of the tokens' count over the counted documents. An array literal."""
-    some = lines_of(rows.filter(F.pmod(F.hash("row"), F.lit(COUNT_SHARE)) == 0))
-    counts = some.select(F.explode(tokens_of(F.col("text"), k, _slot)).alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
+    """Below 128 for each slot of tokens: the logarithm of the tokens' count over all documents. An array literal. Words are
+    counted as often as they occur, with no line or set made for it."""
+    if k == 1:
+        words = rows.select(F.explode(F.split(F.translate("text", "\n" + BLANKS, " " * (1 + len(BLANKS))), " ")).alias("word")).filter("word <> ''")
+        slots = words.select(_slot(F.col("word")).alias("slot"))
+    else:
+        slots = lines_of(rows).select(F.explode(tokens_of(F.col("text"), k, _slot)).alias("slot"))
+    counts = slots.groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
     levels = [0] * COUNT_SLOTS
     for slot, n in counts.toPandas().itertuples(index=False):  # COUNT_SLOTS rows at most
         levels[slot] = min(127, int(4 * math.log2(n)))
@@ -193,6 +198,7 @@ def removed_lines(rows: DataFrame, percent: int, k: int) -> DataFrame:
     """row and line of every line of numbered rows with an earlier match."""
     sets = _sets(rows, k, percent)
     copies = _copies(sets)
+    release(rows.sparkSession)
     some = sets.filter("rare is not null")
     alone = _without(some, copies)
     own = ("row", "line", "n", "pos", "parity", "odd")
