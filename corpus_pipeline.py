@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prospecta.llm.bpe_codec import encode_decode
-from prospecta.llm.common import numbered, read, written
+from prospecta.llm.common import numbered, read, release, written
 from prospecta.llm.decontaminate import clean_documents
 from prospecta.llm.jaccard import jaccard_components
 from prospecta.llm.line_dedup import without_repeated_lines
@@ -68,4 +68,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release(spark)
     return docs
