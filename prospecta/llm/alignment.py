@@ -4,10 +4,11 @@ The alignment is relational. Tokens of both vocabularies are posexploded, window
 the two sides meet by text and end (one grouping by text and end is that equi-join, of rows that already lie together), the
 running count of ends that both have numbers the groups, and tokens of a group are linked where their bytes overlap.
 
-It is done once for each distinct chunk of a block of documents: a chunk is what lies between places where both
+It is done once for each distinct chunk of the corpus: a chunk is what lies between places where both
 vocabularies always cut (single spaces, which go with what follows, and line ends and a full stop or comma after a letter). A document is then a list of
-chunk codes; its groups are those of its chunks in order, its links their links. Tasks make blocks of at most BLOCK_BYTES of text, so a block's codes, chunks and tokens stay together by its number, are
-bounded, and no text is moved. Documents that hold a link are counted block by block, then over the corpus; the counts go
+chunk codes; its groups are those of its chunks in order, its links their links. Tasks make blocks of at most BLOCK_BYTES of text, each with its own codes. A
+block's distinct chunks are exchanged by their text, encoded and aligned once for all blocks, and the links go back to every block that has the chunk: packed, a row for
+each block that a task has met. No text is moved, and what a block gets back is bounded by its size. Documents that hold a link are counted block by block, then over the corpus; the counts go
 back to the blocks. Nothing is gathered by id, pair or document, and one grouping key is never more than a block.
 
 Vocabulary A is byte-level BPE (a tokenizers .json file, special strings as plain text), B a sentencepiece .model with byte
@@ -22,7 +23,8 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +34,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prospecta.llm.common import docs_only, slices, strings, written
+from prospecta.llm.common import docs_only, release, slices, strings, written
 from prospecta.llm.merges import byte_letters
 
+if TYPE_CHECKING:
+    import sentencepiece
+
 BLOCK_BYTES = 8 << 20
-#: Tasks that blocks are dealt to at most; beyond, a task has several, and sorts spill.
+#: Tasks that blocks and chunks are dealt to at most; beyond, a task has more of them, and sorts spill.
 MOST_PARTS = 20_000
 #: Characters that are no white space by any of the vocabularies; a space between two of them is a cut.
 SOLID = r"[!-~\p{L}\p{N}]"
@@ -52,12 +57,32 @@ ID_BITS, LENGTH_BITS = 17, 8
 #: Chunks that are encoded at once: the libraries' answers are many times their size.
 BATCH = 1 << 12
 #: Words whose links are sorted at once.
-SLICE_WORDS = 1 << 18
-BLOCK_ROWS = "block long, ord int, doc_id long, codes binary, code int, tokens array<int>"
+SLICE_WORDS = 1 << 17
+#: Distinct chunks of blocks to a task that meets them by their text, and those that it packs at once.
+PART_CHUNKS, PACK_ROWS = 1 << 18, 1 << 17
+#: Marks of a link in its number: A's token is met for the first time, B's is; both: a group begins.
+NEW_A, NEW_B = 62, 61
+BLOCK_ROWS = "block long, ord int, doc_id long, codes binary, code int, chunk string"
+PACKED_ROWS = "block long, codes binary, sizes binary, marks binary, a binary, b binary"
 PIECE_ROWS = ("block long, ord int, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, times binary, "
               "pair int, a int, b int, n long")
 
 
+def pieces_of(b: sentencepiece.SentencePieceProcessor) -> list[str]:
+    """B's pieces, which must not go on after a space."""
+    pieces = [b.id_to_piece(i) for i in range(b.get_piece_size())]
+    if any("▁" in x.lstrip("▁") for x in pieces):
+        raise ValueError("pieces go on after a space")
+    return pieces
+
+
+def safe_finer(path_b: str) -> bool:
+    """Whether finer cuts are safe: no piece goes across one."""
+    import sentencepiece
+
+    return not any("\n" in x or regex.search(r"\p{L}[.,]", x) for x in pieces_of(sentencepiece.SentencePieceProcessor(model_file=path_b)))
+
+
 class Tokenizers:
     """Tokens of chunks by both vocabularies, packed."""
 
@@ -76,12 +101,8 @@ class Tokenizers:
         self.bytes_a = [b""] * (max(vocab.values()) + 1)
         for entry, i in vocab.items():
             self.bytes_a[i] = bytes(byte[x] for x in entry) if all(x in byte for x in entry) else entry.encode()
-        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        if any("▁" in x.lstrip("▁") for x in pieces):
-            raise ValueError("pieces go on after a space")
+        pieces = pieces_of(self.b)
         self.bytes_b = [bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(pieces)]
-        # Finer cuts are safe if no piece goes across one.
-        self.finer = not any("\n" in x or regex.search(r"\p{L}[.,]", x) for x in pieces)
         if max(map(len, self.bytes_a + self.bytes_b)) >> LENGTH_BITS or max(len(self.bytes_a), len(self.bytes_b)) >> ID_BITS:
             raise ValueError("tokens are too long or too many to be packed")
         self.packed_a = [i << LENGTH_BITS | len(x) for i, x in enumerate(self.bytes_a)]
@@ -102,12 +123,14 @@ class Tokenizers:
 
 
 def planes(values: np.ndarray) -> bytes:
-    """Numbers as int32, first all low bytes: they compress better so."""
-    return values.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    """Numbers as int32, first all low bytes: they compress better so. What is exchanged is compressed here, as a shuffle's own codec gains little."""
+    data = values.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
 
 def unplaned(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<i4").ravel()
+    whole = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    return np.frombuffer(whole, np.uint8).reshape(4, -1).T.copy().view("<i4").ravel()
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -134,7 +157,8 @@ def chunked(texts: pa.Array, finer: bool = True) -> tuple[list[np.ndarray], pa.A
     for pattern, with_marks in FINER if finer else ():
         cut = pc.replace_substring_regex(cut, pattern, with_marks)
     split = pc.split_pattern(cut, " ")
-    own = [CUT.split(x) for x in strings(texts.take(pa.array(rest)))]
+    # A text that begins with JOIN itself has its space before it, as a part of the chunk.
+    own = [CUT.split(f"{JOIN} {x}" if x.startswith(JOIN) else x) for x in strings(texts.take(pa.array(rest)))]
     sizes = np.zeros(len(texts), np.int64)
     sizes[plain] = np.asarray(pc.list_value_length(split))
     sizes[rest] = list(map(len, own))
@@ -150,14 +174,14 @@ def chunked(texts: pa.Array, finer: bool = True) -> tuple[list[np.ndarray], pa.A
     return out, coded.dictionary.take(pa.array(order))
 
 
-def blocks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """Columns BLOCK_ROWS: documents with the codes of their chunks, and the packed tokens of each code of the block."""
-    schema = pa.schema([("block", pa.int64()), ("ord", pa.int32()), ("doc_id", pa.int64()), ("codes", pa.binary()), ("code", pa.int32()), ("tokens", pa.list_(pa.int32()))])
+def blocks(docs: DataFrame, path_b: str) -> DataFrame:
+    """Columns BLOCK_ROWS: documents with the codes of their chunks, and the chunk of each code of the block."""
+    schema = pa.schema([("block", pa.int64()), ("ord", pa.int32()), ("doc_id", pa.int64()), ("codes", pa.binary()), ("code", pa.int32()), ("chunk", pa.string())])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizers, part = Tokenizers(path_a, path_b), TaskContext.get().partitionId()
+        finer, part = safe_finer(path_b), TaskContext.get().partitionId()
         for number, table in enumerate(_gathered(batches)):
-            codes, chunks = chunked(table.column("text").combine_chunks(), tokenizers.finer)
+            codes, chunks = chunked(table.column("text").combine_chunks(), finer)
             block, n = part << 31 | number, table.num_rows
 
             def columns(n: int, **own: pa.Array) -> pa.RecordBatch:
@@ -166,19 +190,33 @@ def blocks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
             yield columns(n, ord=pa.array(np.arange(n), pa.int32()), doc_id=table.column("doc_id").combine_chunks(), codes=pa.array([planes(x) for x in codes], pa.binary()))
             for at in range(0, len(chunks), BATCH):
-                tokens = tokenizers.tokens(strings(chunks.slice(at, BATCH)))
-                yield columns(len(tokens), code=pa.array(np.arange(at, at + len(tokens)), pa.int32()), tokens=pa.array(tokens, pa.list_(pa.int32())))
+                some = chunks.slice(at, BATCH)
+                yield columns(len(some), code=pa.array(np.arange(at, at + len(some)), pa.int32()), chunk=some.cast(pa.string()))
             pa.default_memory_pool().release_unused()  # what a block took is the executor's again
 
     return docs_only(docs).mapInArrow(make, BLOCK_ROWS)
 
 
+def encoded(chunks: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """chunk and its packed tokens, of chunks that both vocabularies spell."""
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizers = Tokenizers(path_a, path_b)
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                some = batch.column("chunk").slice(at, BATCH)
+                tokens = pa.array(tokenizers.tokens(strings(some)), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([some, tokens], names=["chunk", "tokens"]).filter(pc.is_valid(tokens))
+        pa.default_memory_pool().release_unused()
+
+    return chunks.mapInArrow(encode, "chunk string, tokens array<int>")
+
+
 def aligned(tokens: DataFrame) -> DataFrame:
-    """block, code, n_a, n_b, n_groups, groups, links (array of A id * 2^32 + B id) from block, code, tokens, wherever
-    rows of a block lie together."""
-    text = ["code", "block"]  # code first: sorting is by it
+    """chunk and its links in order (array of A id * 2^32 + B id, with the marks NEW_A and NEW_B) from chunk, tokens, wherever
+    rows of a chunk lie together."""
+    text = ["hash", "chunk"]  # sorting is by the hash, chunks of one hash are told apart
     token = F.col("token")
-    each = tokens.select(*text, F.posexplode("tokens").alias("pos", "token"))
+    each = tokens.select(F.xxhash64("chunk").alias("hash"), "chunk", F.posexplode("tokens").alias("pos", "token"))
     so_far = Window.partitionBy(*text, "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     each = each.withColumn("side", F.shiftright(token, ID_BITS + LENGTH_BITS)).select(
         *text, "side", "token", F.sum(token.bitwiseAND((1 << LENGTH_BITS) - 1)).over(so_far).cast("int").alias("end"))
@@ -195,20 +233,71 @@ def aligned(tokens: DataFrame) -> DataFrame:
         begin = F.col("end") - F.col(name).bitwiseAND((1 << LENGTH_BITS) - 1)
         return F.array_sort(F.collect_list(F.when(F.col(name).isNotNull(), F.struct("end", begin.alias("begin"), number(F.col(name)).alias("id"))))).alias(name)
 
-    groups = numbered.groupBy(*text, "group").agg(side("a"), side("b"))
-    links = F.flatten(F.transform("a", lambda x: F.transform(
-        F.filter("b", lambda y: (y.begin < x.end) & (x.begin < y.end)), lambda y: F.shiftleft(x.id.cast("long"), 32) + y.id)))
-
-    def ids(tokens: str) -> Column:
-        return F.array_join(F.transform(tokens, lambda x: x.id.cast("string")), ",")
-
-    each_group = groups.select(*text, "group", F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.concat(ids("a"), F.lit("|"), ids("b")).alias("ids"), links.alias("links"))
-    inner = F.array_sort(F.collect_list(F.struct("group", "ids", "links")))
-    return each_group.groupBy(*text).agg(F.sum("n_a").cast("int").alias("n_a"), F.sum("n_b").cast("int").alias("n_b"), inner.alias("g")).select(
-        "block", "code", "n_a", "n_b", F.size("g").alias("n_groups"), F.array_join(F.transform("g", lambda x: x.ids), ";").alias("groups"), F.flatten(F.transform("g", lambda x: x.links)).alias("links"))
+    def link(x: Column, y: Column) -> Column:
+        marks = F.when(y.begin <= x.begin, F.lit(1 << NEW_A)).otherwise(F.lit(0)) + F.when(x.begin <= y.begin, F.lit(1 << NEW_B)).otherwise(F.lit(0))
+        return F.shiftleft(x.id.cast("long"), 32) + y.id + marks
 
-
-def _composed(docs: pa.Table, chunks: pa.Table) -> pa.Table:
+    groups = numbered.groupBy(*text, "group").agg(side("a"), side("b"))
+    links = F.flatten(F.transform("a", lambda x: F.transform(F.filter("b", lambda y: (y.begin < x.end) & (x.begin < y.end)), lambda y: link(x, y))))
+    inner = F.array_sort(F.collect_list(F.struct("group", "links")))
+    return groups.select(*text, "group", links.alias("links")).groupBy(*text).agg(inner.alias("g")).select("chunk", F.flatten(F.transform("g", lambda x: x.links)).alias("links"))
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns PACKED_ROWS of block, code, links: those of a block in one row, at most PACK_ROWS at once."""
+    def rows(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        block, code = np.asarray(table.column("block")), np.asarray(table.column("code")).astype(np.int64)
+        order = np.lexsort((code, block))
+        block, code, listed = block[order], code[order], table.column("links").combine_chunks().take(pa.array(order))
+        sizes, links = np.asarray(pc.list_value_length(listed)).astype(np.int64), np.asarray(listed.flatten()).astype(np.int64)
+        ends, first, out = np.concatenate([[0], np.cumsum(sizes)]), np.flatnonzero(np.diff(block, prepend=block[0] - 1)).tolist(), []
+        for i, j in zip(first, [*first[1:], len(block)], strict=True):
+            own = links[ends[i]:ends[j]]
+            marks = (own >> NEW_B).astype(np.uint8)
+            out.append((block[i], planes(np.diff(code[i:j], prepend=0)), planes(sizes[i:j]), planes(marks), planes(own[marks >= 2] >> 32 & (1 << ID_BITS) - 1), planes(own[marks & 1 == 1] & (1 << ID_BITS) - 1)))
+        kinds = [pa.int64(), *[pa.binary()] * 5]
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=["block", "codes", "sizes", "marks", "a", "b"])
+
+    held, n = [], 0
+    for batch in batches:
+        if n and n + batch.num_rows > PACK_ROWS:
+            yield rows(held)
+            held, n = [], 0
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+    if n:
+        yield rows(held)
+    pa.default_memory_pool().release_unused()
+
+
+def _unpacked(packed: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(code and number of links of each chunk; marks, A id and B id of each link) of a block's packed rows."""
+    def numbers(name: str, then: Callable[[np.ndarray], np.ndarray] = np.asarray) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.int64), *(then(unplaned(x)) for x in packed.column(name).to_pylist())]).astype(np.int64)
+
+    codes = numbers("codes", np.cumsum)
+    marks = numbers("marks").astype(np.uint8)
+    # A token's links follow one another: a link's token is the last that was new.
+    a, b = (numbers(name)[np.cumsum(new) - 1] for name, new in (("a", marks >= 2), ("b", marks & 1 == 1)))
+    return codes, numbers("sizes"), marks, a, b
+
+
+def _group_texts(starts: np.ndarray, marks: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[str]:
+    """`a1,a2|b1;a3|b2` of each chunk, given where its links start; every chunk has some."""
+    begins = np.flatnonzero(marks == 3)
+
+    def side(ids: np.ndarray, new: np.ndarray) -> pa.Array:
+        at = np.concatenate([np.cumsum(new)[begins] - 1, [int(new.sum())]])
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids[new]).cast(pa.string())), ",")
+
+    groups = pc.binary_join_element_wise(side(a, marks >= 2), side(b, marks & 1 == 1), "|")
+    at = np.concatenate([np.searchsorted(begins, starts), [len(begins)]])
+    return strings(pc.binary_join(pa.ListArray.from_arrays(pa.array(at, pa.int32()), groups), ";"))
+
+
+def _composed(docs: pa.Table, packed: pa.Table) -> pa.Table:
     """Columns PIECE_ROWS of a block: its documents with their link pairs, and its pairs with the number of documents."""
     schema = pa.schema([("block", pa.int64()), ("ord", pa.int32()), ("doc_id", pa.int64()), *((x, pa.int64()) for x in ("n_a", "n_b", "n_groups", "n_links")), ("groups_sha256", pa.string()),
                         ("pairs", pa.binary()), ("times", pa.binary()), ("pair", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())])
@@ -216,21 +305,19 @@ def _composed(docs: pa.Table, chunks: pa.Table) -> pa.Table:
         return schema.empty_table()
     own = [unplaned(x) for x in docs.column("codes").to_pylist()]
     most = max((int(x.max()) for x in own if len(x)), default=-1) + 1
-    where = np.asarray(chunks.column("code")).astype(np.int64)
+    where, lengths, marks, of_a, of_b = _unpacked(packed)
     most = max(most, int(where.max()) + 1 if len(where) else 0)
     known = np.zeros(most, bool)
     known[where] = True
-    sums = np.zeros((4, most), np.int64)
-    listed = chunks.column("links").combine_chunks()
-    lengths = np.asarray(pc.list_value_length(listed)).astype(np.int64)
-    for k, x in enumerate((chunks.column("n_a"), chunks.column("n_b"), chunks.column("n_groups"), lengths)):
-        sums[k, where] = np.asarray(x)
+    sums, first = np.zeros((4, most), np.int64), np.cumsum(lengths) - lengths
+    for k, new in enumerate((marks >= 2, marks & 1 == 1, marks == 3, marks >= 0)):
+        sums[k, where] = np.add.reduceat(new.astype(np.int64), first) if len(where) else 0
     groups = np.empty(most, object)
-    groups[where] = strings(chunks.column("groups").combine_chunks())
+    groups[where] = _group_texts(first, marks, of_a, of_b)
     groups = groups.tolist()
-    pairs, of_link = np.unique(np.asarray(listed.flatten()).astype(np.int64), return_inverse=True)
+    pairs, of_link = np.unique(of_a << 32 | of_b, return_inverse=True)
     starts = np.zeros(most, np.int64)
-    starts[where] = np.cumsum(lengths) - lengths
+    starts[where] = first
     right = np.array([len(x) > 0 and bool(known[x].all()) for x in own])
     empty = planes(np.zeros(0, np.int64))
     held, times, counts = [empty] * len(own), [empty] * len(own), np.zeros(len(pairs), np.int64)
@@ -257,6 +344,7 @@ def _composed(docs: pa.Table, chunks: pa.Table) -> pa.Table:
             held[i] = planes(np.diff(distinct[bounds[k]:bounds[k + 1]] & 0xFFFFFFFF, prepend=0))
             times[i] = planes(times_[bounds[k]:bounds[k + 1]])
             digests[i] = hashlib.sha256(";".join(map(groups.__getitem__, own[i].tolist())).encode()).hexdigest()
+    pa.default_memory_pool().release_unused()
     n, m, block = len(own), len(pairs), docs.column("block")[0].as_py()
 
     def column(name: str, of_docs, of_pairs) -> pa.Array:
@@ -284,14 +372,24 @@ def _weighed(docs: pa.Table, pairs: pa.Table) -> pa.Table:
     return kept.append_column("n_best", pa.array(n_best, pa.int64())).append_column("count_sum", pa.array(count_sum, pa.int64())).append_column("groups_sha256", docs.column("groups_sha256"))
 
 
+def _pieces(table: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """Written PIECE_ROWS of a table of BLOCK_ROWS."""
+    sizes = table.agg(F.count("code").alias("chunks"), F.count_if(F.col("ord") == 0).alias("blocks")).first()
+    parts = min(MOST_PARTS, max(8, sizes.chunks // PART_CHUNKS + 1))
+    # Exchanged once: the distinct chunks are grouped, and the links met, where the chunks of all blocks lie by their text.
+    met = table.filter("chunk is not null").select("block", "code", "chunk").repartition(parts, "chunk")
+    distinct = met.groupBy("chunk").agg(F.min("block").alias("block"), F.min("code").alias("code"))
+    links = aligned(encoded(distinct, path_a, path_b).repartition(parts, "chunk"))
+    packed = met.join(links.hint("shuffle_hash"), "chunk").select("block", "code", "links").mapInArrow(_packed, PACKED_ROWS)
+    parts = min(MOST_PARTS, max(8, sizes.blocks // 2))
+    documents = table.filter("codes is not null").select("block", "ord", "doc_id", "codes").repartition(parts, "block")
+    return written(documents.groupBy("block").cogroup(packed.repartition(parts, "block").groupBy("block")).applyInArrow(_composed, PIECE_ROWS), "pieces")
+
+
 def align(docs: DataFrame, path_a: str, path_b: str) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every row; a, b, count, best of every id pair)."""
-    table = written(blocks(docs, path_a, path_b), "blocks")
-    # About a block to a task, so that its sorts stay in memory.
-    parts = min(MOST_PARTS, 2 * max(1, table.filter("ord = 0").count()))
-    chunks = aligned(table.filter("tokens is not null").select("block", "code", "tokens").repartition(parts, "block"))
-    documents = table.filter("codes is not null").select("block", "ord", "doc_id", "codes").repartition(parts, "block")
-    pieces = written(documents.groupBy("block").cogroup(chunks.groupBy("block")).applyInArrow(_composed, PIECE_ROWS), "pieces")
+    pieces = _pieces(written(blocks(docs, path_b), "blocks"), path_a, path_b)
+    release(docs.sparkSession)
     pairs = pieces.filter("pair is not null").select("block", "pair", "a", "b", "n")
     counts = written(pairs.groupBy("a", "b").agg(F.sum("n").alias("count")), "counts")
     stats = counts.join(counts.groupBy("a").agg(F.max("count").alias("most")), "a").select("a", "b", "count", (F.col("count") == F.col("most")).alias("best"))

@@ -7,11 +7,13 @@ import hashlib
 import itertools
 import math
 import random
+import uuid
 import zlib
 
 import duckdb
 import public_tokenizers
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from prospecta.llm import alignment, pii, q_pii, q_trie, trie
@@ -96,6 +98,34 @@ def test_alignment_of_a_text_of_a_megabyte(spark):
     assert row.n_a == row.n_groups and row.n_a >= 7 * 40_000 and len(row.groups_sha256) == 64
 
 
+def test_chunks_are_encoded_once_for_all_blocks(spark, tmp_path, monkeypatch):
+    """Blocks share their chunks: each is encoded once, however many blocks have it, and every block gets its links."""
+    monkeypatch.setattr(alignment, "BLOCK_BYTES", 100)
+    monkeypatch.setattr(alignment, "PACK_ROWS", 5)
+    rows = [(i, f"alpha beta naïve gamma{i % 3} " * 3) for i in range(30)]
+    met, tokens = tmp_path / "met", alignment.Tokenizers.tokens
+    met.mkdir()
+
+    def noted(self, chunks):
+        (met / uuid.uuid4().hex).write_text("\t".join(chunks))
+        return tokens(self, chunks)
+
+    monkeypatch.setattr(alignment.Tokenizers, "tokens", noted)
+    cloudpickle.register_pickle_by_value(alignment)
+    try:
+        got = alignment.align(documents(spark, rows), A, B)[0].collect()
+    finally:
+        cloudpickle.unregister_pickle_by_value(alignment)
+    seen = [x for path in met.iterdir() for x in path.read_text().split("\t")]
+    assert sorted(seen) == sorted(set(seen)) and {"beta", "naïve", "gamma0", "gamma1", "gamma2"} <= set(seen)
+    assert collections.Counter(tuple(x) for x in got) == brute_alignment(rows)
+
+
+def test_alignment_of_texts_that_begin_with_a_control_character(spark):
+    rows = list(enumerate(["\x01abc", "\x01 a b", "\x01", "a \x01b c", "\x01\x01x y"]))
+    assert collections.Counter(tuple(x) for x in alignment.align(documents(spark, rows), A, B)[0].collect()) == brute_alignment(rows)
+
+
 def test_alignment_of_an_empty_table(spark):
     assert alignment.align(documents(spark, []), A, B)[0].count() == 0
 
