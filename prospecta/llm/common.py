@@ -44,13 +44,16 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
-    """df as a table in the shared folder, in as many buckets of `key` as shuffles have partitions: joins of it with itself
-    by that key move nothing."""
-    spark = df.sparkSession
-    table, n = f"{name}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = f"{shared_folder(spark)}/prospecta/{table}"
-    df.write.bucketBy(n, key).option("compression", "zstd").option("path", path).saveAsTable(table)
+def bucketed(parts: Iterable[DataFrame], name: str, key: str) -> DataFrame:
+    """Rows of all parts as a table in the shared folder, in as many buckets of `key` as shuffles have partitions: joins of it
+    with itself by that key move nothing. What a part has exchanged is let go before the next is made."""
+    table = f"{name}_{uuid.uuid4().hex}"
+    for df in parts:
+        spark = df.sparkSession
+        n, path = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{shared_folder(spark)}/prospecta/{table}"
+        df.write.mode("append").bucketBy(n, key).option("compression", "zstd").option("path", path).saveAsTable(table)
+        del df
+        release(spark)
     return spark.table(table)
 
 

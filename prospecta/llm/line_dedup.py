@@ -49,6 +49,8 @@ COUNT_SLOTS = 1 << 16
 #: Words of 64 bits of each table that marks what is verified.
 MARK_WORDS = 1 << 17
 HASH_BITS = 56
+#: Lists are made in so many turns: what one has exchanged is let go before the next, so it does not lie on disk at once.
+LIST_PARTS = 2
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -76,10 +78,15 @@ def _bound(value: Column, make: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), make), F.lit(0))
 
 
+def _spaced(text: Column) -> Column:
+    """text with a space for each of BLANKS. Translating goes letter by letter, so only texts that have some are translated."""
+    odd = text.contains(BLANKS[0]) | text.contains(BLANKS[1]) | text.contains(BLANKS[2]) | text.contains(BLANKS[3])
+    return F.when(odd, F.translate(text, BLANKS, " " * len(BLANKS))).otherwise(text)
+
+
 def words_of(text: Column) -> Column:
     """Words of a line. A split at one space needs no pattern, so other blanks are made spaces first where there are any."""
-    odd = text.contains(BLANKS[0]) | text.contains(BLANKS[1]) | text.contains(BLANKS[2]) | text.contains(BLANKS[3])
-    return F.array_remove(F.split(F.when(odd, F.translate(text, BLANKS, " " * len(BLANKS))).otherwise(text), " "), "")
+    return F.array_remove(F.split(_spaced(text), " "), "")
 
 
 def tokens_of(text: Column, k: int, make: Callable[[Column], Column] = F.xxhash64) -> Column:
@@ -102,7 +109,7 @@ def _levels(rows: DataFrame, k: int) -> Column:
     """Below 128 for each slot of tokens: the logarithm of the tokens' count over all documents. An array literal. Words are
     counted as often as they occur, with no line or set made for it."""
     if k == 1:
-        words = rows.select(F.explode(F.split(F.translate("text", "\n" + BLANKS, " " * (1 + len(BLANKS))), " ")).alias("word")).filter("word <> ''")
+        words = rows.select(F.explode(F.split(F.replace(_spaced(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("word")).filter("word <> ''")
         slots = words.select(_slot(F.col("word")).alias("slot"))
     else:
         slots = lines_of(rows).select(F.explode(tokens_of(F.col("text"), k, _slot)).alias("slot"))
@@ -146,12 +153,12 @@ def _copies(sets: DataFrame) -> DataFrame:
 
 
 def _may_match(a: Callable[[str], Column], b: Callable[[str], Column], percent: int) -> Column:
-    """Length, positional and parity filters. `odd` has the parities of the kinds of odd number, `parity` all, folded."""
+    """Length, parity and positional filters. `odd` has the parities of the kinds of odd number, `parity` all, folded."""
     n_a, n_b = a("n"), b("n")
     needed = F.ceil((n_a + n_b) * percent / (100 + percent))
     odd, even = a("odd").bitwiseXOR(b("odd")), a("parity").bitwiseXOR(b("parity")).bitwiseXOR(a("odd")).bitwiseXOR(b("odd"))
-    near = F.bit_count(odd) + F.bit_count(even) <= n_a + n_b - 2 * needed
-    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (F.least(n_a - a("pos"), n_b - b("pos")) >= needed) & near
+    near = (100 + percent) * (F.bit_count(odd) + F.bit_count(even)) <= (100 - percent) * (n_a + n_b)
+    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & near & (F.least(n_a - a("pos"), n_b - b("pos")) >= needed)
 
 
 def _marked(table: DataFrame, keys: DataFrame, inside: bool = True) -> DataFrame:
@@ -207,9 +214,14 @@ def removed_lines(rows: DataFrame, percent: int, k: int) -> DataFrame:
         return lines.select("row", "line", "n", "parity", "odd", F.posexplode("rare").alias("pos", "entry"))
 
     group = Window.partitionBy("entry").orderBy("row", "line").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    entries = entries_of(alone).withColumn("lead", F.first(F.struct(*own)).over(group)).withColumn("many", F.count(F.lit(1)).over(group)).filter("many > 1")
     led = (F.struct("row", "line") != F.struct("lead.row", "lead.line")) & _may_match(F.col, lambda x: F.col(f"lead.{x}"), percent)
-    entries = bucketed(entries.select("entry", *own, F.when(led, F.struct("lead.row", "lead.line")).alias("lead")), "entries", "entry")
+
+    def lists(part: int) -> DataFrame:
+        some = entries_of(alone).filter(F.pmod("entry", F.lit(LIST_PARTS)) == part)
+        some = some.withColumn("lead", F.first(F.struct(*own)).over(group)).withColumn("many", F.count(F.lit(1)).over(group)).filter("many > 1")
+        return some.select("entry", *own, F.when(led, F.struct("lead.row", "lead.line")).alias("lead"))
+
+    entries = bucketed((lists(part) for part in range(LIST_PARTS)), "entries", "entry")
     votes = entries.filter("lead is not null").groupBy("row", "line", "lead").agg(F.count(F.lit(1)).alias("votes"))
     best = votes.groupBy("row", "line").agg(F.max(F.struct("votes", "lead")).alias("best"))
     first = written(best.select(F.struct("row", "line").alias("a"), F.col("best.lead").alias("b")), "first")
@@ -225,14 +237,14 @@ def removed_lines(rows: DataFrame, percent: int, k: int) -> DataFrame:
     left = [(sure, entries), (unsure, _marked(entries, unsure.select("entry")))]
 
     def side(x: str, some: DataFrame) -> DataFrame:
-        return some.select("entry", F.struct("row", "line").alias(x), *[F.col(y).alias(f"{y}_{x}") for y in own[2:]])
-
-    def short(x: str) -> Column:
-        return F.col(f"pos_{x}") <= F.col(f"n_{x}") - F.ceil(F.col(f"n_{x}") * 2 * percent / (100 + percent))
-
-    near = F.when(F.col("n_a") < F.col("n_b"), short("a")).when(F.col("n_a") > F.col("n_b"), short("b")).otherwise(short("a") & short("b"))
-    near = (F.col("a") > F.col("b")) & near & _may_match(lambda x: F.col(f"{x}_a"), lambda x: F.col(f"{x}_b"), percent)
-    met = [side("a", some).join(side("b", lists), "entry").filter(near).select("a", "b") for some, lists in left]
+        short = F.col("pos") <= F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent))
+        return some.select("entry", *[F.col(y).alias(f"{y}_{x}") for y in own], short.alias(f"short_{x}"))
+
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    near = ((n_a > n_b) | F.col("short_a")) & ((n_a < n_b) | F.col("short_b"))
+    earlier = (F.col("row_a") > F.col("row_b")) | ((F.col("row_a") == F.col("row_b")) & (F.col("line_a") > F.col("line_b")))
+    near = earlier & near & _may_match(lambda x: F.col(f"{x}_a"), lambda x: F.col(f"{x}_b"), percent)
+    met = [side("a", some).join(side("b", lists).withColumnRenamed("entry", "of"), (F.col("entry") == F.col("of")) & near).select(*[F.struct(F.col(f"row_{x}").alias("row"), F.col(f"line_{x}").alias("line")).alias(x) for x in "ab"]) for some, lists in left]
     pairs = met[0].unionAll(met[1]).distinct()
     tested = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     second = written(pairs.join(moved(tested), ["a", "b"], "left_anti"), "second")
