@@ -29,11 +29,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: lost executors cost no recomputation, and later joins see its size."""
+def _no_dictionary(hashes: Iterable[str]) -> dict[str, str]:
+    """Options of a write: a dictionary of values that hardly repeat costs time and is thrown away."""
+    return {f"parquet.enable.dictionary#{x}": "false" for x in hashes}
+
+
+def written(df: DataFrame, name: str, hashes: Iterable[str] = ()) -> DataFrame:
+    """df as a table in the shared folder: lost executors cost no recomputation, and later joins see its size. hashes: columns
+    of values that hardly repeat."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/prospecta/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **_no_dictionary(hashes)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -51,7 +57,7 @@ def bucketed(parts: Iterable[DataFrame], name: str, key: str) -> DataFrame:
     for df in parts:
         spark = df.sparkSession
         n, path = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{shared_folder(spark)}/prospecta/{table}"
-        df.write.mode("append").bucketBy(n, key).option("compression", "zstd").option("path", path).saveAsTable(table)
+        df.write.mode("append").bucketBy(n, key).options(compression="zstd", path=path, **_no_dictionary(df.columns)).saveAsTable(table)
         del df
         release(spark)
     return spark.table(table)
