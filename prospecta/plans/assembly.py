@@ -1,9 +1,11 @@
 """From filings and their documents to events, for many filers in one plan.
 
-Each document is parsed once where it lies; only its facts are moved, by address, to the filings that refer to it. Which
+Each document is parsed once; its facts are stored and moved, by address, to the filings that refer to it. Which
 facts count is then a matter of columns: the index page gives the classes, the primary document fills what they lack, and
 up to two supporting documents what is still unknown. A filing's rows are its classes (and pairs that the official map
-confirms), else its name-ticker pairs, else one row. A filer with an unreadable document has no rows and a failed status.
+confirms), else its name-ticker pairs, else one row. They are listed in the filing's own row until all else is known, so
+that rows of classes are not joined again; kinds of documents, pairs and errors that do not occur cost no join.
+A filer with an unreadable document has no rows and a failed status.
 
 Defined results: a document that is missing or blank gives no facts; a filing without any name gives no row; repeated
 addresses count once; empty tables give empty results; further columns of filings and documents are ignored.
@@ -11,12 +13,14 @@ addresses count once; empty tables give empty results; further columns of filing
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from prospecta import fixed
 from prospecta.functions import classify as c
@@ -27,12 +31,21 @@ from prospecta.schema import EVENT_FIELDS, NOT_LISTED, as_events
 from prospecta.sources.documents import cover_window
 from prospecta.sources.extract import FACTS, NO_NAME, facts_of
 from prospecta.sources.feeds import supporting_links
+from prospecta.sources.parse import ENTRIES
 
 FILING = ("accession_number", "cik", "form", "date", "accepted_at", "link", "primary_link", "filer")
 INDEX, PRIMARY, FIRST, SECOND = "index", "primary", "first", "second"
-ROLES = (INDEX, PRIMARY, FIRST, SECOND)
+SUPPORTING = (FIRST, SECOND)
+ROLES = (INDEX, PRIMARY, *SUPPORTING)
 #: Supporting documents of this ending are read less far.
 VIEWER_SUFFIX, VIEWER_CHARS = "_htm.xml", 120_000
+#: What an entry of an index page holds, and besides with an official map: the ticker as filed, and whether the ticker is the map's.
+ENTRY, OFFICIAL = tuple(ENTRIES.elementType.names), ("filed", "mapped")
+
+
+def at(role: str) -> str:
+    """The column of the address of a filing's document."""
+    return f"{role}_url"
 
 
 @dataclass(frozen=True)
@@ -49,12 +62,25 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint() if context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir") else df.persist()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df computed once, as columns in the cluster's shared folder: a checkpoint computes its last stage twice and keeps whole rows."""
+    context = df.sparkSession.sparkContext
+    folder = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        return df.persist()
+    path = f"{folder.rstrip('/')}/prospecta/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def document_facts(documents: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """url, facts and whether there is text, for each document (url, text, perhaps error) that has an address; if given, of
     wanted urls alone."""
     text = t.text(F.col("text"))
-    if wanted is not None:
-        documents = documents.join(wanted.select("url").distinct(), "url", "left_semi")
+    if wanted is not None:  # dealt to all cores: few bytes of text take long to read
+        session = documents.sparkSession
+        tasks = max(4 * session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+        documents = documents.repartition(tasks, "url").join(wanted.select("url").distinct(), "url", "left_semi")
     chars = F.when(F.col("url").endswith(VIEWER_SUFFIX), VIEWER_CHARS).otherwise(fixed.IDENTITY_CHARS)
     others = [F.max(x).alias(x) for x in documents.columns if x == "error"]
     known = documents.filter("url is not null").groupBy("url").agg(F.max("text").alias("text"), *others) if _repeats(documents) else documents.filter("url is not null")
@@ -69,20 +95,48 @@ def _repeats(documents: DataFrame) -> bool:
     return not documents.filter("url is not null").groupBy("url").count().filter("count > 1").isEmpty()
 
 
+def index_links(documents: DataFrame, base: str) -> DataFrame:
+    """link and more, for documents that as index pages would name others: the first of these, one more than a filing asks for."""
+    links = supporting_links(F.substring(t.text(F.col("text")), 1, fixed.INDEX_CHARS), base, most=len(SUPPORTING) + 1)
+    return documents.select(F.col("url").alias("link"), links.alias("more")).filter("link is not null and size(more) > 0").groupBy("link").agg(F.max("more").alias("more"))
+
+
+def addressed(filings: DataFrame, links: DataFrame | None) -> DataFrame:
+    """Filings with the addresses of their documents, by role (null where there is none)."""
+    whole = F.col("accession_number").isNotNull() & F.col("cik").isNotNull()
+    out = filings.withColumns({at(INDEX): F.when(whole, F.col("link")), at(PRIMARY): F.when(whole, F.nullif(t.text(F.col("primary_link")), F.lit("")))})
+    if links is None:
+        return out.withColumns({at(role): F.lit(None).cast("string") for role in SUPPORTING})
+    others = F.array_except("more", F.array(t.text(F.col("primary_link"))))
+    return out.join(links, "link", "left").withColumns({at(role): F.when(whole, F.get(others, F.lit(i))) for i, role in enumerate(SUPPORTING)}).drop("more")
+
+
 def references(filings: DataFrame, documents: DataFrame, base: str) -> DataFrame:
     """accession_number, cik, role and url of the documents that each filing may need."""
-    index = documents.select(F.col("url").alias("link"), F.substring(t.text(F.col("text")), 1, fixed.INDEX_CHARS).alias("text"))
-    links = supporting_links(F.col("text"), base, F.array(t.text(F.col("primary_link"))))
-    named = filings.join(index, "link", "left").select("accession_number", "cik", "link", "primary_link", links.alias("more")).dropDuplicates(["accession_number", "cik"])
-    urls = {INDEX: F.col("link"), PRIMARY: F.nullif(t.text(F.col("primary_link")), F.lit("")), FIRST: F.get("more", F.lit(0)), SECOND: F.get("more", F.lit(1))}
-    each = F.array(*[F.struct(F.lit(role).alias("role"), url.alias("url")) for role, url in urls.items()])
-    return named.select("accession_number", "cik", F.inline(each)).filter("url is not null")
+    return _named(addressed(filings, _some(index_links(documents, base))))
+
+
+def _named(filings: DataFrame) -> DataFrame:
+    each = F.array(*[F.struct(F.lit(role).alias("role"), F.col(at(role)).alias("url")) for role in ROLES])
+    return filings.select("accession_number", "cik", F.inline(each)).filter("url is not null")
+
 
+def _some(df: DataFrame) -> DataFrame | None:
+    """df, or nothing if it has no rows."""
+    return None if df.isEmpty() else df
 
-def by_role(named: DataFrame, facts: DataFrame, roles: Sequence[str] = ROLES) -> DataFrame:
-    """accession_number, cik and for each role the facts of the filing's document (null where there is none)."""
-    met = named.join(facts, "url").withColumn("doc", F.struct("has_text", "facts"))
-    return met.groupBy("accession_number", "cik").agg(*[F.first(F.when(F.col("role") == role, F.col("doc")), ignorenulls=True).alias(role) for role in roles])
+
+def with_documents(filings: DataFrame, facts: DataFrame, roles: Sequence[str]) -> DataFrame:
+    """Filings with the facts of their documents of these roles (null where there is none)."""
+    for role in roles:
+        filings = filings.join(facts.select(F.col("url").alias(at(role)), F.struct("has_text", "facts").alias(role)), at(role), "left")
+    return filings
+
+
+def without_documents(filings: DataFrame, roles: Sequence[str]) -> DataFrame:
+    """Filings with no facts of documents of these roles."""
+    none = F.lit(None).cast(T.StructType([T.StructField("has_text", T.BooleanType()), T.StructField("facts", FACTS)]))
+    return filings.withColumns({role: none for role in roles}) if roles else filings
 
 
 def _fact(role: str, name: str, when: Column | None = None) -> Column:
@@ -96,22 +150,36 @@ def _pairs(role: str, when: Column) -> Column:
     return F.coalesce(F.when(when, F.col(f"{role}.facts.pairs")), none)
 
 
-def index_entries(filings: DataFrame, ticker_map: DataFrame | None) -> DataFrame:
-    """Classes of the index pages, with the ticker at filing and the official one where the filing gave none."""
-    rows = filings.select("accession_number", "cik", F.posexplode(f"{INDEX}.facts.entries").alias("ord", "x")).select("accession_number", "cik", "ord", "x.*")
-    shown = F.when(t.is_share_class_name(F.col("class_name")) & (F.col("series_name") != ""), F.col("series_name")).otherwise(F.col("class_name"))
-    at_filing = F.when(t.is_mutual_fund_ticker(F.col("ticker")), F.upper(F.trim("ticker"))).otherwise(t.sanitize_ticker(F.col("ticker")))
-    rows = rows.withColumns({"etf_name": shown, "ticker_at_filing": at_filing})
-    rows = rows.withColumn("ticker_source", F.when(F.col("ticker_at_filing") == NOT_LISTED, fixed.FROM_NONE).otherwise(fixed.FROM_FILING))
-    return e.enrich_from_map(rows, ticker_map) if ticker_map is not None else rows
+def with_entries(filings: DataFrame, ticker_map: DataFrame | None) -> DataFrame:
+    """Filings with `entries`: the classes of their index pages, with the ticker at filing and, if there is a map, the official one where
+    the filing gave none."""
+    out = filings.withColumn("entries", F.col(f"{INDEX}.facts.entries"))
+    if ticker_map is None:
+        return out
+    key = ["accession_number", "cik"]
+    rows = e.enrich_from_map(class_rows(out, key).withColumns({"filed": F.col("ticker"), "ticker_source": F.lit("")}), ticker_map)
+    mapped = rows.withColumn("mapped", F.col("ticker_source") == fixed.FROM_MAP)
+    each = mapped.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("ord", *ENTRY, *OFFICIAL))).alias("entries"))
+    return out.drop("entries").join(each, key, "left")
+
+
+def class_rows(filings: DataFrame, kept: Sequence[str]) -> DataFrame:
+    """A row for each of a filing's entries: `kept` of its columns, ord and the entry's own."""
+    rows = filings.select(*kept, F.posexplode("entries").alias("ord", "x"))
+    return rows.select(*kept, "ord", *[F.col(f"x.{name}") for name in rows.schema["x"].dataType.names if name != "ord"])
+
 
+def shown_name() -> Column:
+    """A class's name, or for share classes that of the series."""
+    return F.when(t.is_share_class_name(F.col("class_name")) & (F.col("series_name") != ""), F.col("series_name")).otherwise(F.col("class_name"))
 
-def resolved(filings: DataFrame, entries: DataFrame, has_map: bool, filers: Sequence[tuple[str, str]] = fixed.FILERS) -> DataFrame:
-    """Filings with what their documents, asked in order, say: ticker, name, filer, pairs, listing and election. Filers that
+
+def resolved(filings: DataFrame, has_map: bool, filers: Sequence[tuple[str, str]] = fixed.FILERS, roles: Sequence[str] = ROLES) -> DataFrame:
+    """Filings with what their documents (of `roles`), asked in order, say: ticker, name, filer, pairs, listing and election. Filers that
     are listed (cik, name) are shown by that name."""
-    lack = entries.groupBy("accession_number", "cik").agg(
-        F.count(F.lit(1)).alias("n_entries"), F.bool_or(F.col("ticker") == "").alias("no_ticker"), F.bool_or(F.col("etf_name") == "").alias("no_name"))
-    out = filings.join(lack, ["accession_number", "cik"], "left").fillna(0, ["n_entries"]).fillna(False, ["no_ticker", "no_name"])
+    some = F.coalesce(F.size("entries") > 0, F.lit(False))
+    out = filings.withColumns({
+        "n_entries": F.when(some, F.size("entries")).otherwise(0), "no_ticker": some & F.exists("entries", lambda x: x.ticker == ""), "no_name": some & F.exists("entries", lambda x: x.class_name == "")})
     none = F.col("n_entries") == 0
     filer = F.coalesce(F.nullif(_fact(INDEX, "registrant"), F.lit("")), t.text(F.col("filer")))
     out = out.withColumn("filer_0", filer)
@@ -125,16 +193,16 @@ def resolved(filings: DataFrame, entries: DataFrame, has_map: bool, filers: Sequ
         _fact(PRIMARY, "fund_ticker", use).alias("ticker"), _fact(PRIMARY, "fund_name", use).alias("name"), F.coalesce(F.nullif("filer_0", F.lit("")), _fact(PRIMARY, "registrant", use)).alias("filer"),
         _pairs(PRIMARY, use).alias("pairs"), F.coalesce(F.col(f"{INDEX}.facts.error"), F.when(F.col("loaded"), F.col(f"{PRIMARY}.facts.error"))).alias("error")))
     lacking = F.when(none, ~_whole(F.col("asked"))).otherwise((F.col("asked.filer") == "") | F.col("no_ticker"))
-    more = F.filter(F.array(FIRST, SECOND), lambda d: d.isNotNull() & say & lacking)
+    more = F.filter(F.array(*SUPPORTING), lambda d: d.isNotNull() & say & lacking)
     state = F.aggregate(more, F.struct(F.col("asked"), F.lit(False).alias("stop")), lambda s, d: F.when(s.stop, s).otherwise(_told(s.asked, d.facts))).asked
     out = out.withColumns({
-        "asked": state, "lacking": say & lacking, "exchange_listed": F.col("loaded") & F.coalesce(F.col(f"{PRIMARY}.facts.exchange_listed"), F.lit(False)),
+        "asked": state if set(roles) & set(SUPPORTING) else F.col("asked"), "lacking": say & lacking, "exchange_listed": F.col("loaded") & F.coalesce(F.col(f"{PRIMARY}.facts.exchange_listed"), F.lit(False)),
         "election": F.when(F.col("loaded"), F.col(f"{PRIMARY}.facts.election")).otherwise(F.col(f"{INDEX}.facts.election"))})
-    named = F.broadcast(out.sparkSession.createDataFrame(filers, "cik string, configured string"))
     shared = [cik for cik, _ in filers if cik in fixed.TIDAL_FILERS]
-    out = out.join(named, "cik", "left").withColumn("shown_filer", t.filer_label(F.col("cik"), F.coalesce("configured", F.lit("")), F.col("asked.filer"), shared))
+    configured = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in dict(filers).items() for x in pair]), F.col("cik")), F.lit("")) if filers else F.lit("")
     return out.select(
-        "accession_number", "cik", "form", "date", "accepted_at", "link", "n_entries", "shown_filer", "exchange_listed", "election", "asked.pairs", "asked.error", "lacking",
+        "accession_number", "cik", "form", "date", "accepted_at", "link", "n_entries", "entries", t.filer_label(F.col("cik"), configured, F.col("asked.filer"), shared).alias("shown_filer"),
+        "exchange_listed", "election", "asked.pairs", "asked.error", "lacking",
         F.col("asked.ticker").alias("fund_ticker"), F.col("asked.name").alias("fund_name"), _fact(INDEX, "fund_name").alias("index_name"), _fact(INDEX, "fund_ticker").alias("index_ticker"))
 
 
@@ -150,21 +218,40 @@ def _told(asked: Column, facts: Column) -> Column:
     return F.struct(new.alias("asked"), _whole(new).alias("stop"))
 
 
-def _class_rows(filings: DataFrame, entries: DataFrame, pairs: DataFrame) -> DataFrame:
-    """A row for each class: tickers proposed by pairs of its name, a sole class also takes the filing's ticker."""
+def _proposed(filings: DataFrame, pairs: DataFrame) -> DataFrame:
+    """accession_number, cik, ord and the ticker that a class takes from the pairs of its name."""
     # A filing is an accession of a filer: co-registrants file under one number.
-    named = entries.select("accession_number", "cik", "ord", t.normalize_name(F.col("etf_name")).alias("name"), "ticker")
-    proposed = r.unique_matches(named, pairs.withColumn("name", t.normalize_name(F.col("name"))), ["accession_number", "cik"]).select("accession_number", "cik", "ord", "proposed")
-    rows = entries.join(proposed, ["accession_number", "cik", "ord"], "left").withColumn("ticker", F.when(F.col("ticker") == "", F.coalesce("proposed", F.lit(""))).otherwise(F.col("ticker")))
-    rows = rows.join(filings.select("accession_number", "cik", "n_entries", "fund_ticker", "fund_name"), ["accession_number", "cik"])
-    adopted = F.when((F.col("n_entries") == 1) & (F.col("ticker") == ""), F.col("fund_ticker")).otherwise(F.col("ticker"))
-    mapped, found = F.col("ticker_source") == fixed.FROM_MAP, t.sanitize_ticker(F.col("own"))
-    said = ~mapped & (found != NOT_LISTED)
-    return rows.withColumn("own", adopted).select(
-        "accession_number", "cik", F.lit("class").alias("kind"),
-        F.when(mapped, t.official_ticker(F.col("own"))).otherwise(found).alias("ticker"), F.when(said, found).otherwise(F.col("ticker_at_filing")).alias("ticker_at_filing"),
-        F.when(said, fixed.FROM_FILING).otherwise(F.col("ticker_source")).alias("ticker_source"), F.coalesce(F.nullif("etf_name", F.lit("")), "fund_name").alias("etf_name"),
-        "class_name", "series_id", "series_name", "class_id", F.lit("class").alias("identity_scope"))
+    key = ["accession_number", "cik"]
+    named = class_rows(filings, key).select(*key, "ord", t.normalize_name(shown_name()).alias("name"), "ticker")
+    return r.unique_matches(named, pairs.withColumn("name", t.normalize_name(F.col("name"))), key).select(*key, "ord", "proposed").filter("proposed is not null")
+
+
+def _rows(filings: DataFrame, has_map: bool, pairs: DataFrame | None) -> DataFrame:
+    """A row for each class: tickers proposed by pairs of its name, a sole class also takes the filing's ticker. Filings without
+    classes: a row for each pair, else one of what the documents, and last the index page, say."""
+    name = F.when(F.col("fund_name") != NO_NAME, F.col("fund_name")).otherwise(F.col("index_name"))
+    alone = F.array(F.struct(name.alias("name"), F.coalesce(F.nullif("fund_ticker", F.lit("")), "index_ticker").alias("ticker")))
+    blank, none = F.lit(""), F.col("n_entries") == 0
+
+    def entry(pair: Column) -> Column:
+        own = {"ord": F.lit(-1), "class_name": pair["name"], "filed": pair.ticker, "mapped": F.lit(False), "ticker": pair.ticker}
+        return F.struct(*[own.get(x, blank).alias(x) for x in (("ord", *ENTRY, *OFFICIAL) if has_map else ENTRY)])
+
+    each = filings.withColumn("entries", F.when(~none, F.col("entries")).otherwise(F.transform(F.when(F.size("pairs") > 0, F.col("pairs")).otherwise(alone), entry)))
+    rows = class_rows(each, [x for x in filings.columns if x not in ("entries", "pairs")])
+    if not has_map:
+        rows = rows.withColumns({"filed": F.col("ticker"), "mapped": F.lit(False)})
+    if pairs is not None:
+        rows = rows.join(_proposed(filings, pairs), ["accession_number", "cik", "ord"], "left").withColumn("ticker", F.when((F.col("ticker") == "") & ~none, F.coalesce("proposed", blank)).otherwise(F.col("ticker"))).drop("proposed")
+    own = F.when((F.col("n_entries") == 1) & (F.col("ticker") == ""), F.col("fund_ticker")).otherwise(F.col("ticker"))
+    at_filing = F.when(t.is_mutual_fund_ticker(F.col("filed")), F.upper(F.trim("filed"))).otherwise(t.sanitize_ticker(F.col("filed")))
+    rows = rows.withColumns({"own": own, "found": t.sanitize_ticker(own), "at_filing": at_filing, "shown": shown_name()})
+    said = ~F.col("mapped") & (F.col("found") != NOT_LISTED)
+    return rows.withColumns({
+        "kind": F.when(none, "named").otherwise("class"), "identity_scope": F.when(none, "name").otherwise("class"),
+        "ticker": F.when(F.col("mapped"), t.official_ticker(F.col("own"))).otherwise(F.col("found")), "ticker_at_filing": F.when(said, F.col("found")).otherwise(F.col("at_filing")),
+        "ticker_source": F.when(F.col("mapped"), fixed.FROM_MAP).when(said | (F.col("at_filing") != NOT_LISTED), fixed.FROM_FILING).otherwise(fixed.FROM_NONE),
+        "etf_name": F.when(none, F.col("shown")).otherwise(F.coalesce(F.nullif("shown", blank), "fund_name"))}).drop("ord", "own", "found", "at_filing", "shown", "filed", "mapped", "n_entries", "fund_ticker", "fund_name", "index_name", "index_ticker")
 
 
 def _confirmed_rows(entries: DataFrame, pairs: DataFrame, ticker_map: DataFrame) -> DataFrame:
@@ -179,16 +266,11 @@ def _confirmed_rows(entries: DataFrame, pairs: DataFrame, ticker_map: DataFrame)
         F.col("name").alias("class_name"), "series_id", F.when(F.col("identity_scope") == "class", F.col("name")).otherwise("").alias("series_name"), "class_id", "identity_scope")
 
 
-def _named_rows(filings: DataFrame) -> DataFrame:
-    """Filings without classes: a row for each pair, else one of what the documents, and last the index page, say."""
-    name = F.when(F.col("fund_name") != NO_NAME, F.col("fund_name")).otherwise(F.col("index_name"))
-    ticker = F.coalesce(F.nullif("fund_ticker", F.lit("")), "index_ticker")
-    alone = F.array(F.struct(name.alias("name"), ticker.alias("ticker")))
-    each = filings.filter("n_entries = 0").select("accession_number", "cik", F.inline(F.when(F.size("pairs") > 0, F.col("pairs")).otherwise(alone)))
-    ticker, blank = t.sanitize_ticker(F.col("ticker")), F.lit("")
-    return each.select(
-        "accession_number", "cik", F.lit("named").alias("kind"), ticker.alias("ticker"), ticker.alias("ticker_at_filing"), F.when(ticker == NOT_LISTED, fixed.FROM_NONE).otherwise(fixed.FROM_FILING).alias("ticker_source"),
-        F.col("name").alias("etf_name"), F.col("name").alias("class_name"), blank.alias("series_id"), blank.alias("series_name"), blank.alias("class_id"), F.lit("name").alias("identity_scope"))
+def _about(filings: DataFrame) -> DataFrame:
+    """Rows with their filing's filer and election as events have them."""
+    return filings.withColumns({
+        "filer": F.col("shown_filer"), "effectiveness_basis": F.coalesce("election.basis", F.lit("")), "effectiveness_days": F.col("election.days"),
+        "designated_effective_date": F.coalesce("election.designated", F.lit("")), "effectiveness_label": F.coalesce("election.label", F.lit(""))}).drop("shown_filer", "election", "error", "lacking")
 
 
 def guarded(rows: DataFrame) -> DataFrame:
@@ -206,25 +288,35 @@ def assemble(filings: DataFrame, documents: DataFrame, base: str, ticker_map: Da
     own, key = filings.select(*FILING).dropDuplicates(["accession_number", "cik"]), ["accession_number", "cik"]
     has_map = ticker_map is not None and not ticker_map.isEmpty()
     ticker_map = ticker_map if has_map else None
-    named = settled(references(own, documents, base))
-    held = settled(own.join(by_role(named, document_facts(documents, named)), key, "left"))  # documents are parsed once, whatever is asked of them
-    entries = index_entries(held, ticker_map)
-    known = settled(resolved(held, entries, has_map, filers))
-    if more is not None:
-        supporting = named.filter(F.col("role").isin(FIRST, SECOND)).join(known.filter("lacking").select(*key), key, "left_semi")
-        found = settled(more(supporting.select("url").distinct()))
-        held = settled(held.drop(FIRST, SECOND).join(by_role(supporting, document_facts(found), (FIRST, SECOND)), key, "left"))
-        entries = index_entries(held, ticker_map)
-        known = settled(resolved(held, entries, has_map, filers))
-    pairs = known.select("accession_number", "cik", F.posexplode("pairs").alias("ord", "pair")).select("accession_number", "cik", "ord", "pair.*")
-    rows = _class_rows(known, entries, pairs).unionByName(_named_rows(known))
-    if ticker_map is not None:
-        rows = rows.unionByName(_confirmed_rows(entries, pairs.join(entries.select("accession_number", "cik").distinct(), ["accession_number", "cik"], "left_semi"), ticker_map))
-    about = known.select(
-        "accession_number", "cik", "form", "date", "accepted_at", "link", F.col("shown_filer").alias("filer"), "exchange_listed",
-        F.bool_or(F.col("error").isNotNull()).over(Window.partitionBy("cik")).alias("failed"), F.coalesce("election.basis", F.lit("")).alias("effectiveness_basis"),
-        F.col("election.days").alias("effectiveness_days"), F.coalesce("election.designated", F.lit("")).alias("designated_effective_date"), F.coalesce("election.label", F.lit("")).alias("effectiveness_label"))
-    events = guarded(rows).withColumn("cik", t.normalize_cik(F.col("cik"))).join(about.filter("not failed").drop("failed").withColumn("cik", t.normalize_cik(F.col("cik"))), ["accession_number", "cik"])
+    links = _some(index_links(documents, base))
+    links = stored(links) if links is not None else None
+    asked = addressed(filings.select(*FILING), links)
+    primary = [PRIMARY] if not asked.filter(F.col(at(PRIMARY)).isNotNull()).isEmpty() else []
+    roles = [INDEX, *primary, *(SUPPORTING if links is not None else ())]
+    facts = stored(document_facts(documents, _named(asked)))  # documents are parsed once, whatever is asked of them
+    own = addressed(own, links)
+    held = without_documents(with_documents(own, facts, roles), [x for x in ROLES if x not in roles])
+    known = resolved(with_entries(held, ticker_map), has_map, filers, roles)
+    errors = [facts]
+    if more is not None and links is not None:
+        supporting = own.join(known.filter("lacking").select(*key), key, "left_semi")
+        found = settled(more(_named(supporting).filter(F.col("role").isin(*SUPPORTING)).select("url").distinct()))
+        late = stored(document_facts(found))
+        held = with_documents(held.drop(*SUPPORTING), late, SUPPORTING)
+        known, errors = resolved(with_entries(held, ticker_map), has_map, filers, roles), [facts, late]
+    pairs = None
+    if len(roles) > 1 or has_map:  # more than one thing is asked of filings
+        known = stored(known)
+    if len(roles) > 1:  # pairs are of other documents than the index page
+        pairs = known.select(*key, F.posexplode("pairs").alias("ord", "pair")).select(*key, "ord", "pair.*")
+    rows = _about(_rows(known, has_map, pairs))
+    if pairs is not None and has_map:
+        of_classes = pairs.join(known.filter("n_entries > 0").select(*key), key, "left_semi")
+        about = _about(known.drop("entries", "pairs", "n_entries", "fund_ticker", "fund_name", "index_name", "index_ticker"))
+        rows = rows.unionByName(_confirmed_rows(class_rows(known, key), of_classes, ticker_map).join(about, key))
+    if any(not x.filter("facts.error is not null").isEmpty() for x in errors):
+        rows = rows.join(known.filter("error is not null").select("cik").distinct(), "cik", "left_anti")
+    events = guarded(rows).withColumn("cik", t.normalize_cik(F.col("cik")))
     events = events.withColumn("vehicle", c.row_vehicle(F.col("exchange_listed")))
     events = events.withColumns({
         "identity_scope": F.when(c.uses_series_identity(F.col("vehicle")), "series").otherwise(F.col("identity_scope")),

@@ -62,6 +62,6 @@ def supporting_links(index: Column, base: str, excluded: Column | None = None, m
         return F.filter(F.regexp_extract_all(index, F.lit(pattern), F.lit(1)), lambda x: ~F.lower(x).rlike(r"/index\.html?\z"))
 
     anchors = F.transform(found(ANCHORS), lambda x: F.regexp_replace(F.replace(F.trim(x), F.lit("&amp;"), F.lit("&")), r"(?i)^/ix\?doc=", ""))
-    links = F.when(F.size(anchors) > 0, anchors).otherwise(F.concat(*map(found, GROUPS)))
+    links = F.when(~F.lower(index).contains(PATH.lower()), F.array().cast("array<string>")).when(F.size(anchors) > 0, anchors).otherwise(F.concat(*map(found, GROUPS)))
     whole = F.array_distinct(F.transform(F.filter(links, t.has_document_suffix), lambda x: t.absolute_url(x, base)))
     return F.slice(F.array_except(whole, excluded) if excluded is not None else whole, 1, most)

@@ -97,3 +97,21 @@ def test_empty_tables_and_repeats(spark):
 @pytest.mark.parametrize("text, want", [(None, ""), (5, "TypeError")])
 def test_error_of_one_document(text, want):
     assert (extract.facts(text, None)[-1] or "").startswith(want)
+
+
+def test_rows_of_classes_are_joined_once(spark):
+    """Filings whose index pages say all meet their facts in one join; what does not occur (other documents, pairs, errors) costs none."""
+    index = HEAD + row("S000000001", "Alpha", "C000000001", "Alpha ETF", "ALP")
+    filings = spark.createDataFrame([("a", "0000000077", "485BPOS", "2026-05-01", "", f"{BASE}/a", "", "x", 1)], FILINGS)
+    events = assembly.assemble(filings, spark.createDataFrame([(f"{BASE}/a", index)], "url string, text string"), BASE).events
+    assert events._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    assert [(x.event_id, x.ticker, x.filer) for x in events.collect()] == [("a:C000000001", "ALP", "NORTHWIND TRUST")]
+
+
+def test_a_filer_with_an_unreadable_document_has_no_rows(spark):
+    index = HEAD + row("S000000001", "Alpha", "C000000001", "Alpha ETF", "ALP")
+    filings = spark.createDataFrame([(a, cik, "485BPOS", "2026-05-01", "", f"{BASE}/{a}", "", "x", 1) for a, cik in (("a", "0000000077"), ("b", "0000000077"), ("c", "0000000088"))], FILINGS)
+    documents = spark.createDataFrame([(f"{BASE}/a", index, ""), (f"{BASE}/b", None, "no answer"), (f"{BASE}/c", index, None)], "url string, text string, error string")
+    got = assembly.assemble(filings, documents, BASE)
+    assert [x.event_id for x in got.events.collect()] == ["c:C000000001"]
+    assert sorted((x.cik, x.status, x.row_count, x.error_summary) for x in got.statuses.collect()) == [("0000000077", "failed", 0, "no answer"), ("0000000088", "success", 1, "")]

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import re
 import time
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
@@ -120,3 +121,23 @@ def test_literals_are_in_every_match():
         for text in samples:
             if re.search(pattern, text, re.IGNORECASE):
                 assert all(x in text.casefold() for x in extract.needed(pattern))
+
+
+def test_choices_are_in_every_match():
+    """Of the words that a pattern is said to choose from, one is in whatever it matches."""
+    samples = ["[ ABC ] | Alpha Core Fund", "Alpha Core ETF ABC Cboe BZX", "Alpha Core ETF ABC Stock Exchange", "as with all exchange traded funds", "Shares of the Fund are traded on the NYSE", "ABC Alpha Core ETF"]
+    for pattern in (*extract.NAME_PATTERNS, *extract.TICKER_LISTED, *extract.TICKER_LAST, *extract.PAIR_PATTERNS, *extract.LISTED):
+        for text in samples:
+            if re.search(pattern, text, re.IGNORECASE):
+                assert all(any(x in text.casefold() for x in words) for words in extract.choices(pattern))
+
+
+def test_a_document_is_walked_once(monkeypatch):
+    """Rows of both kinds, lines and the election of a text come from one walk."""
+    seen, fed = [], HTMLParser.feed
+    monkeypatch.setattr(HTMLParser, "feed", lambda self, text: seen.append(text) or fed(self, text))
+    page = "<table><tr class=contractRow><td>C000000001</td><td></td><td>Walked Once ETF</td><td>ONC</td></tr><tr><th>[X]</th><td>60 days after filing</td></tr></table>"
+    got = extract.facts(page, page)
+    assert (len(got[5]), got[6]["days"], seen) == (1, 60, [page])
+    extract.facts(page.replace("class=contractRow", 'class="contractRow"'), None)
+    assert seen == [page]  # plain markup needs no parser
