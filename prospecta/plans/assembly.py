@@ -163,15 +163,15 @@ def with_entries(filings: DataFrame, ticker_map: DataFrame | None) -> DataFrame:
     return out.drop("entries").join(each, key, "left")
 
 
-def class_rows(filings: DataFrame, kept: Sequence[str]) -> DataFrame:
+def class_rows(filings: DataFrame, kept: Sequence[str], explode: Callable[[str], Column] = F.posexplode) -> DataFrame:
     """A row for each of a filing's entries: `kept` of its columns, ord and the entry's own."""
-    rows = filings.select(*kept, F.posexplode("entries").alias("ord", "x"))
+    rows = filings.select(*kept, explode("entries").alias("ord", "x"))
     return rows.select(*kept, "ord", *[F.col(f"x.{name}") for name in rows.schema["x"].dataType.names if name != "ord"])
 
 
-def shown_name() -> Column:
+def shown_name(class_name: Column, series_name: Column) -> Column:
     """A class's name, or for share classes that of the series."""
-    return F.when(t.is_share_class_name(F.col("class_name")) & (F.col("series_name") != ""), F.col("series_name")).otherwise(F.col("class_name"))
+    return F.when((series_name != "") & t.is_share_class_name(class_name), series_name).otherwise(class_name)
 
 
 def resolved(filings: DataFrame, has_map: bool, filers: Sequence[tuple[str, str]] = fixed.FILERS, roles: Sequence[str] = ROLES) -> DataFrame:
@@ -222,7 +222,7 @@ def _proposed(filings: DataFrame, pairs: DataFrame) -> DataFrame:
     """accession_number, cik, ord and the ticker that a class takes from the pairs of its name."""
     # A filing is an accession of a filer: co-registrants file under one number.
     key = ["accession_number", "cik"]
-    named = class_rows(filings, key).select(*key, "ord", t.normalize_name(shown_name()).alias("name"), "ticker")
+    named = class_rows(filings, key).select(*key, "ord", t.normalize_name(shown_name(F.col("class_name"), F.col("series_name"))).alias("name"), "ticker")
     return r.unique_matches(named, pairs.withColumn("name", t.normalize_name(F.col("name"))), key).select(*key, "ord", "proposed").filter("proposed is not null")
 
 
@@ -234,18 +234,21 @@ def _rows(filings: DataFrame, has_map: bool, pairs: DataFrame | None) -> DataFra
     blank, none = F.lit(""), F.col("n_entries") == 0
 
     def entry(pair: Column) -> Column:
-        own = {"ord": F.lit(-1), "class_name": pair["name"], "filed": pair.ticker, "mapped": F.lit(False), "ticker": pair.ticker}
-        return F.struct(*[own.get(x, blank).alias(x) for x in (("ord", *ENTRY, *OFFICIAL) if has_map else ENTRY)])
-
-    each = filings.withColumn("entries", F.when(~none, F.col("entries")).otherwise(F.transform(F.when(F.size("pairs") > 0, F.col("pairs")).otherwise(alone), entry)))
-    rows = class_rows(each, [x for x in filings.columns if x not in ("entries", "pairs")])
+        own = {"ord": F.lit(-1), "class_name": pair["name"], "filed": pair.ticker, "mapped": F.lit(False), "ticker": pair.ticker, "shown": pair["name"]}
+        return F.struct(*[own.get(x, blank).alias(x) for x in (("ord", *ENTRY, *OFFICIAL, "shown") if has_map else (*ENTRY, "shown"))])
+
+    # Names are told in the list: as a column, the guards on them would have their patterns searched many times over. No list is empty;
+    # an inner explode would make each list once more to see that.
+    classes = F.transform("entries", lambda x: x.withField("shown", shown_name(x.class_name, x.series_name)))
+    each = filings.withColumn("entries", F.when(~none, classes).otherwise(F.transform(F.when(F.size("pairs") > 0, F.col("pairs")).otherwise(alone), entry)))
+    rows = class_rows(each, [x for x in filings.columns if x not in ("entries", "pairs")], F.posexplode_outer)
     if not has_map:
         rows = rows.withColumns({"filed": F.col("ticker"), "mapped": F.lit(False)})
     if pairs is not None:
         rows = rows.join(_proposed(filings, pairs), ["accession_number", "cik", "ord"], "left").withColumn("ticker", F.when((F.col("ticker") == "") & ~none, F.coalesce("proposed", blank)).otherwise(F.col("ticker"))).drop("proposed")
     own = F.when((F.col("n_entries") == 1) & (F.col("ticker") == ""), F.col("fund_ticker")).otherwise(F.col("ticker"))
     at_filing = F.when(t.is_mutual_fund_ticker(F.col("filed")), F.upper(F.trim("filed"))).otherwise(t.sanitize_ticker(F.col("filed")))
-    rows = rows.withColumns({"own": own, "found": t.sanitize_ticker(own), "at_filing": at_filing, "shown": shown_name()})
+    rows = rows.withColumns({"own": own, "found": t.sanitize_ticker(own), "at_filing": at_filing})
     said = ~F.col("mapped") & (F.col("found") != NOT_LISTED)
     return rows.withColumns({
         "kind": F.when(none, "named").otherwise("class"), "identity_scope": F.when(none, "name").otherwise("class"),
@@ -276,7 +279,7 @@ def _about(filings: DataFrame) -> DataFrame:
 def guarded(rows: DataFrame) -> DataFrame:
     """Rows that may become events: with a name, no share class without a series, and a fund by name unless a class."""
     name, upper = F.trim("etf_name"), F.upper("etf_name")
-    guards = ((name != "") & (F.upper(name) != NO_NAME), ~(t.is_share_class_name(F.col("class_name")) & (F.col("series_id") == "")), (F.col("kind") == "class") | upper.contains("ETF") | upper.contains("FUND"))
+    guards = ((name != "") & (F.upper(name) != NO_NAME), ~((F.col("series_id") == "") & t.is_share_class_name(F.col("class_name"))), (F.col("kind") == "class") | upper.contains("ETF") | upper.contains("FUND"))
     return rows.filter(reduce(lambda a, b: a & b, guards))
 
 
